@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import chat, packing, simhash, warc
+from tessel.llm import chat, packing, rabin_karp, simhash, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabin_karp.remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("spans")
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), window=400).drop("spans")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"), words=3, distance=2)
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_chat": op2_chat,
     "op5_warc": op5_warc,
+    "op6_rabin_karp": op6_rabin_karp,
+    "op8_suffix_array": op8_suffix_array,
     "op10_simhash": op10_simhash,
 }
 
