@@ -7,7 +7,8 @@ fixed size and are broadcast; word counts grow with the corpus and stay distribu
 are at most HEAVY by arithmetic (each has over 1/HEAVY of all tokens), are looked up in a broadcast table; the
 counts of all other words are joined by word.
 
-Each Baum-Welch pass adds up expected counts by class inside partitions and then across them.
+Baum-Welch goes over the training texts once, in folds: a pass adds up a fold's expected counts by class inside
+partitions and then across them, joins them to the fading counts of earlier folds, and re-estimates.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is in training; repeated rows are scored and counted
 each; an empty table gives an empty result; without training rows counts are zero; only doc_id and text are read.
@@ -29,7 +30,7 @@ from tessel.llm.common import Rows, as_bytes, stage
 
 HEAVY = 200_000
 END = ""  # no word is empty
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_log double, class_log double, hmm_log double, rare array<struct<word:string,n:int>>"
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_log double, class_log double, hmm_log double, words array<binary>, times array<int>"
 
 
 @dataclass
@@ -54,9 +55,8 @@ def first_model(share: np.ndarray, states: int, seed: int = 7) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def sequences(texts: list[bytes], classes: int, most: int = 400_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(row numbers, class ids with the end) in lots of similar lengths, longest first within a lot."""
-    ids = [np.append(class_ids(t.lower().split(), classes), classes) for t in texts]
+def sequences(ids: list[np.ndarray], most: int = 400_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(row numbers, class ids) in lots of similar lengths, longest first within a lot."""
     order = np.argsort([-len(x) for x in ids], kind="stable")
     lot, size = [], 0
     for i in order:
@@ -130,30 +130,53 @@ def maximise(starts: np.ndarray, moves: np.ndarray, by_class: np.ndarray, share:
     return Model((starts + 1) / (starts + 1).sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def baum_welch(training: DataFrame, model: Model, share: np.ndarray, classes: int) -> tuple[Model, float]:
-    """One pass over training(text): rows (class or a special row, counts by state) are summed by Spark; what returns has a fixed size."""
+def coded(training: DataFrame, classes: int, folds: int) -> DataFrame:
+    """Staged (fold, classes) of training(text), the end token's class last, so that passes needn't cut texts into words again."""
+    ddl = "fold int, classes binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = Rows(ddl), 0
+        for b in batches:
+            for t in as_bytes(b.column(0)):
+                ids = np.append(class_ids(t.lower().split(), classes), classes).astype("<u2").tobytes()
+                if rows.add(n % folds, ids, weight=len(ids)):
+                    yield from rows.take()
+                n += 1
+        yield from rows.take()
+
+    return stage(training.mapInArrow(run, ddl), "classes")
+
+
+def baum_welch(training: DataFrame, model: Model, classes: int) -> np.ndarray:
+    """Expected counts over training(classes): rows are the classes, then moves, starts and the log likelihood. Spark sums; what returns has a fixed size."""
     k, spark = len(model.start), training.sparkSession
     ddl = "row int, " + ", ".join(f"s{i} double" for i in range(k))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros((classes + 1 + k + 2, k))
         for b in batches:
-            for _, seqs in sequences(as_bytes(b.column(0)), classes):
+            for _, seqs in sequences([np.frombuffer(x, "<u2").astype(np.int64) for x in b.column(0).to_pylist()]):
                 s, m, e, log = expected(sent.value, *by_time(seqs))
-                part = np.concatenate((e, m, s[None], np.full((1, k), log / k)))
-                total = part if total is None else total + part
-        if total is not None:
-            own = np.nonzero(total.any(1))[0]
+                total += np.concatenate((e, m, s[None], np.full((1, k), log / k)))
+        own = np.nonzero(total.any(1))[0]
+        if len(own):
             yield pa.record_batch([pa.array(own.astype(np.int32)), *(pa.array(total[own, i]) for i in range(k))], names=["row", *(f"s{i}" for i in range(k))])
 
-    found = training.mapInArrow(run, ddl).groupBy("row").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k))).collect()
-    sent.unpersist()
     total = np.zeros((classes + 1 + k + 2, k))
-    for r in found:
+    for r in training.select("classes").mapInArrow(run, ddl).groupBy("row").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k))).collect():
         total[r[0]] = r[1:]
-    e, m, s, log = total[: classes + 1], total[classes + 1 : classes + 1 + k], total[-2], float(total[-1].sum())
-    return maximise(s, m, e, share), log
+    return total
+
+
+def train(codes: DataFrame, share: np.ndarray, states: int, passes: int, fade: float = 0.5) -> Model:
+    """One epoch of coded(...) in as many folds as passes."""
+    classes, model, total = len(share) - 1, first_model(share, states), 0.0
+    for i in range(passes):
+        fold = codes.where(F.col("fold") == i)
+        total = fade * total + baum_welch(fold, model, classes)
+        model = maximise(total[-2], total[classes + 1 : -2], total[: classes + 1], share)
+    return model
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -183,7 +206,7 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def score(docs: DataFrame, states: int = 6, classes: int = 4096, passes: int = 3) -> DataFrame:
+def score(docs: DataFrame, states: int = 8, classes: int = 4096, passes: int = 4) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; logs are to the base 10."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
@@ -194,54 +217,49 @@ def score(docs: DataFrame, states: int = 6, classes: int = 4096, passes: int = 3
     for c, n, v in counts.groupBy(cls.alias("cls")).agg(F.sum("c"), F.count("*")).collect():  # as many rows as classes
         tokens[c], words[c] = n, v
     n_all, v_all = int(tokens.sum()), int(words.sum())
-    share = (tokens + 1) / (tokens + 1).sum()
-    model = first_model(share, states)
-    for _ in range(passes):
-        model, _ = baum_welch(training, model, share, classes)
+    model = train(coded(training, classes, passes), (tokens + 1) / (tokens + 1).sum(), states, passes)
     inside = np.log10(tokens + words + 1)
     inside[classes] = 0.0  # the end class has one word
     common = counts.where((F.col("c") * HEAVY > n_all) & (F.col("word") != END))  # at most HEAVY words
-    heavy = {r[0].encode(): r[1] for r in common.collect()}
-    tables = spark.sparkContext.broadcast((model, inside, {w: float(np.log10(c + 1)) for w, c in heavy.items()}))
+    heavy = {r[0].encode(): float(np.log10(r[1] + 1)) for r in common.collect()}
+    tables = spark.sparkContext.broadcast((model, inside, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         model, inside, heavy = tables.value
         uid = TaskContext.get().partitionId() << 33
-        rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
         for big in batches:
-            for at in range(0, big.num_rows, 2000):
-                b = big.slice(at, 2000)
-                texts = as_bytes(b.column(1))
-                hmm, within = np.zeros(len(texts)), np.zeros(len(texts))
-                for own, seqs in sequences(texts, len(inside) - 1):
-                    hmm[own] = forward(model, *by_time(seqs))[0] / np.log(10)
-                    within[own] = [inside[s].sum() for s in seqs]
-                n_tokens, known, log, rare = [], [], [], []
-                for t in texts:
-                    c = Counter(t.lower().split())
-                    n_tokens.append(c.total() + 1)
-                    own = [(n, heavy[w]) for w, n in c.items() if w in heavy]
+            for at in range(0, big.num_rows, 4000):
+                b = big.slice(at, 4000)
+                cut = [t.lower().split() for t in as_bytes(b.column(1))]
+                ids = [np.append(class_ids(w, classes), classes) for w in cut]
+                log = np.zeros(len(ids))
+                for own, seqs in sequences(ids):
+                    log[own] = forward(model, *by_time(seqs))[0] / np.log(10)
+                known, known_log, rare, times = [], [], [], []
+                for w in cut:
+                    c = Counter(w)
+                    own = [(n, heavy[x]) for x, n in c.items() if x in heavy]
                     known.append(sum(n for n, _ in own))
-                    log.append(sum(n * x for n, x in own))
-                    rare.append([{"word": w.decode(), "n": n} for w, n in c.items() if w not in heavy])
-                yield pa.record_batch([pa.array(np.arange(uid, uid + len(texts))), b.column(0), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()), pa.array(within), pa.array(hmm), pa.array(rare, rare_type)], names=["uid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_log", "class_log", "hmm_log", "rare"])
-                uid += len(texts)
+                    known_log.append(sum(n * x for n, x in own))
+                    rare.append([x for x in c if x not in heavy])
+                    times.append([c[x] for x in rare[-1]])
+                columns = [np.arange(uid, uid + len(cut)), b.column(0), b.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array(known, pa.int64()), pa.array(known_log, pa.float64()), pa.array([float(inside[x].sum()) for x in ids], pa.float64()), log, pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in SCORED.split(", ")])
+                uid += len(cut)
 
     scored = stage(d.select("doc_id", "text", "held_out").mapInArrow(run, SCORED), "scored")
-    rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n").join(counts.where("c >= 1"), "word")
-    rare = rare.groupBy("uid").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
+    pairs = scored.select("uid", F.explode(F.arrays_zip("words", "times")).alias("r")).select("uid", F.col("r.words").cast("string").alias("word"), F.col("r.times").alias("n"))
+    rare = pairs.join(counts, "word").groupBy("uid").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
     ends = float(tokens[classes])  # every text has one end token
-    zero = F.lit(0)
-    word_log = F.col("heavy_log") + F.coalesce("rare_log", zero.cast("double"))
+    word_log = F.col("heavy_log") + F.coalesce("rare_log", F.lit(0.0))
     end_log = float(np.log10(ends + 1))
-    out = scored.drop("rare").join(rare, "uid", "left")
-    return out.select(
+    return scored.drop("words", "times").join(rare, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("heavy_known") + F.coalesce("rare_known", zero) + (1 if ends else 0)).cast("long").alias("n_known"),
+        (F.col("heavy_known") + F.coalesce("rare_known", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (word_log + end_log - F.col("n_tokens") * float(np.log10(n_all + v_all + 1))).alias("base_score"),
         (F.col("hmm_log") + word_log - F.col("class_log")).alias("score"),
