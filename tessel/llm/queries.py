@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import chat, hmm, packing, quality, rabin_karp, secrets, simhash, suffix, warc
+from tessel.llm import chat, decontaminate, hmm, packing, quality, rabin_karp, secrets, simhash, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabin_karp.remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("spans")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), window=400).drop("spans")
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hmm": op4_hmm,
     "op5_warc": op5_warc,
     "op6_rabin_karp": op6_rabin_karp,
+    "op7_decontaminate": op7_decontaminate,
     "op8_suffix_array": op8_suffix_array,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
