@@ -61,6 +61,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that only few texts exist as Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class Rows:
     """Collects output rows by column and hands out Arrow batches of a bounded size."""
 

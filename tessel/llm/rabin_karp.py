@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rolling, Rows, as_bytes, mix
+from tessel.llm.common import Rolling, Rows, as_bytes, mix, slices
 from tessel.llm.repeats import NO_RUNS, Runs, candidates, intervals, keyed, least_grams, runs_of
 
 GRAM = 8
@@ -53,9 +53,8 @@ def send(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Rolling(), Rolling(0xC2B2AE3D27D4EB4F)
         rows = Rows(MESSAGE)
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+        for part in slices(batches, 2000):
+            if part.num_rows:
                 keys = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], 1)
                 copies, runs, high, low, doc, pos = part.column(3).to_numpy(), part.column(4).to_pylist(), [], [], [], []
                 for i, text in enumerate(as_bytes(part.column(2))):
@@ -146,7 +145,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(RESULT)
-        for b in batches:
+        for b in slices(batches):
             for k1, k2, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist()):
                 words = text.split()
                 begin, end = intervals(np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in at])).astype(np.int64), window)
@@ -163,7 +162,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(BASE)
-        for b in batches:
+        for b in slices(batches):
             for doc, k1, k2, text in zip(*(c.to_pylist() for c in b.columns[:3]), as_bytes(b.column(3))):
                 words = text.split()
                 if rows.add(doc, k1, k2, len(words), hashlib.sha256(b" ".join(words)).hexdigest()):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rows, as_bytes, sliding_min, stage, text_key
+from tessel.llm.common import Rows, as_bytes, slices, sliding_min, stage, text_key
 
 SEEDS = "k1 long, k2 long, seeds array<long>"
 
@@ -46,7 +46,7 @@ def candidates(docs: DataFrame, seeds_of: Callable[[], Callable[[bytes], Runs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, rows = seeds_of(), Rows(SEEDS)
-        for b in batches:
+        for b in slices(batches):
             for k1, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 s = seeds(text)[0]
                 if len(s) and rows.add(k1, k2, s.view(np.int64), weight=8 * len(s)):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rolling, Rows, as_bytes, mix
+from tessel.llm.common import Rolling, Rows, as_bytes, mix, slices
 from tessel.llm.repeats import NO_RUNS, Runs, candidates, intervals, keyed, least_grams, runs_of
 
 SNIPPET = "seed long, a long, b long, body binary, span int, copies long"
@@ -97,8 +97,8 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray, ends: np.ndarray, depth:
     is_end = np.zeros(len(text) + 1, bool)
     is_end[ends] = True
     symbols[ends] = 0
-    step = np.sign(np.diff(symbols.astype(np.int32), append=0)).astype(np.int8)
-    following = np.where(step != 0, np.arange(len(step)), len(step) - 1)
+    step = np.sign(np.diff(symbols, append=np.int16(0))).astype(np.int8)
+    following = np.where(step != 0, np.arange(len(step), dtype=np.int32), np.int32(len(step) - 1))
     step = step[np.minimum.accumulate(following[::-1])[::-1]]  # equal neighbours take the type of what comes next
     is_b, is_a = step > 0, step < 0
     b = sort_directly(text, np.nonzero(wanted & is_b)[0], depth)
@@ -136,16 +136,16 @@ def repeated(bodies: list[bytes], spans: list[int], copies: list[int], window: i
     text = np.frombuffer(pad.join(bodies) + pad, np.uint8)
     begin = np.concatenate(([0], np.cumsum(sizes + len(pad))[:-1]))
     ends, spans_ = begin + sizes, np.array(spans)
-    owner = np.repeat(np.arange(len(bodies)), sizes + len(pad))
-    offset = np.arange(len(text)) - begin[owner]
+    owner = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes + len(pad))
+    offset = np.arange(len(text), dtype=np.int32) - begin.astype(np.int32)[owner]
     start = offset < spans_[owner]
     # on from the last start, up to the next type B
     inside = offset < sizes[owner]
     up = np.zeros(len(text), bool)
     up[:-1] = (text[1:] > text[:-1]) & inside[1:]
-    next_up = np.minimum.accumulate(np.where(up, np.arange(len(text)), len(text))[::-1])[::-1]
-    stop = np.minimum(next_up[begin + spans_ - 1], ends - 1)
-    wanted = inside & (np.arange(len(text)) <= stop[owner])
+    ups = np.append(np.nonzero(up)[0], len(text))
+    stop = np.minimum(ups[np.searchsorted(ups, begin + spans_ - 1)], ends - 1)
+    wanted = inside & (offset <= (stop - begin).astype(np.int32)[owner])
     order = suffix_array(text, wanted, ends, window)
     order = order[start[order]]
     rows = np.lib.stride_tricks.sliding_window_view(text, window)
@@ -164,7 +164,7 @@ def repeated(bodies: list[bytes], spans: list[int], copies: list[int], window: i
     return [x - b for x, b in zip(np.split(found, np.searchsorted(found, begin[1:])), begin)]
 
 
-def settle(window: int, block: int = 400_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def settle(window: int, block: int = 60_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by (seed, id). Groups gather to a block of so many window starts; groups of one snippet need no sorting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def settle(window: int, block: int = 400_000) -> Callable[[Iterator[pa.RecordBat
                     yield from flush()
             group = {}
 
-        for batch in batches:
+        for batch in slices(batches):
             for seed, a, b, body, span, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if seed != now:
                     yield from close()
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, rows, seen = seeder(window), Rows(SNIPPET), {}
-        for b in batches:
+        for b in slices(batches):
             for text, n, runs in zip(as_bytes(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 for seed, x, y, body, span, _ in snippets(text, seeds(text), runs, window):
                     seen[seed, x, y] = (body, span, n + (seen[seed, x, y][2] if (seed, x, y) in seen else 0))
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, rows = seeder(window), Rows(PLACE)
-        for b in batches:
+        for b in slices(batches):
             for k1, k2, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(4).to_pylist()):
                 for _, x, y, _, _, at in snippets(text, seeds(text), runs, window):
                     if rows.add(x, y, k1, k2, at):
@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(RESULT)
-        for b in batches:
+        for b in slices(batches):
             for k1, k2, text, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist()):
                 begin, end = intervals(np.unique(np.concatenate([np.array(h["hits"], np.int64) + h["at"] for h in hits])), window)
                 keep, kept = 0, []
