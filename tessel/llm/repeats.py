@@ -45,16 +45,20 @@ def candidates(docs: DataFrame, seeds_of: Callable[[], Callable[[bytes], Runs]])
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, rows = seeds_of(), Rows(SEEDS)
+        seeds, rows, seen = seeds_of(), Rows(SEEDS), {}
         for b in slices(batches):
             for k1, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
+                if (n := seen.get((k1, k2), 0)) == 2:  # two rows of a text already show that its seeds are repeated
+                    continue
+                seen[k1, k2] = n + 1
                 s = seeds(text)[0]
                 if len(s) and rows.add(k1, k2, s.view(np.int64), weight=8 * len(s)):
                     yield from rows.take()
         yield from rows.take()
 
     found = stage(docs.mapInArrow(run, SEEDS), "seeds")
-    again = found.select(F.explode("seeds").alias("seed")).groupBy("seed").count().where("count > 1").select("seed")
+    # staged, so that the join below has a shuffle on either side and skewed seeds can be split
+    again = stage(found.select(F.explode("seeds").alias("seed")).groupBy("seed").count().where("count > 1").select("seed"), "again")
     hits = found.select("k1", "k2", F.posexplode("seeds").alias("run", "seed")).join(again, "seed", "left_semi")
     hits = hits.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"))
     # copies of a text meet as partial results of map tasks, never as rows in one task

@@ -119,6 +119,7 @@ def marked(pages: DataFrame, least: int = 100) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     first = p.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select("digest", "first_id")
+    first = stage(first, "first")  # so that the join has a shuffle on either side and skewed digests can be split
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return p.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first_id")).alias("refers_to"))
 
