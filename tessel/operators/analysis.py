@@ -1,0 +1,179 @@
+"""Deterministic analysis. Every operator takes and returns DataFrames."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+NAN = (float("nan"), float("inf"), float("-inf"))
+
+
+def compare(current: Column, baseline: Column, absolute_only: bool = False) -> list[Column]:
+    """T-01: delta, relative change and the state, tested in a fixed order."""
+    odd = current.isin(*NAN[1:]) | F.isnan(current) | baseline.isin(*NAN[1:]) | F.isnan(baseline)
+    state = (
+        F.when(current.isNull() | baseline.isNull(), "missing_value").when(odd, "undefined_input").when((current == 0) & (baseline == 0), "both_zero").when(baseline == 0, "zero_baseline").otherwise("method_limited" if absolute_only else "ok")
+    )
+    usable = ~state.isin("missing_value", "undefined_input")
+    delta = F.when(usable, current - baseline)
+    relative = F.when(usable & (baseline != 0), F.try_divide(current - baseline, F.abs(baseline)))
+    return [delta.alias("delta"), relative.alias("relative"), F.when(state == "ok", relative * 100).alias("percent"), state.alias("state")]
+
+
+def compare_periods(series: DataFrame, period: str, value: str, back: int) -> DataFrame:
+    """T-01 over a monthly series (period YYYY-MM): each period with the one `back` months earlier, exact label or nothing."""
+    current = series.select(F.col(period).alias("period"), F.col(value).cast("double").alias("current"))
+    earlier = F.date_format(F.add_months(F.to_date(F.concat("period", F.lit("-01"))), back), "yyyy-MM")
+    baseline = current.select(earlier.alias("period"), F.col("current").alias("baseline"))
+    out = current.join(baseline, "period", "left")
+    return out.select("period", "current", "baseline", *compare(F.col("current"), F.col("baseline")))
+
+
+def drill_down(df: DataFrame, name: str, value: str, keep: int, sample: str | None = None, min_sample: int = 0, total: float | None = None) -> DataFrame:
+    """T-02: the largest `keep` categories and one explicit `others` row; a null value is zero. The input is one row per category."""
+    d = df.select(F.col(name).cast("string").alias("name"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"), (F.col(sample) if sample else F.lit(min_sample)).alias("n"))
+    small = F.col("n") < min_sample
+    top = d.where(~small).orderBy(F.desc("value"), "name").limit(keep).select(F.col("name").alias("top_name"), F.lit(True).alias("kept"))
+    marked = d.join(F.broadcast(top), F.col("name").eqNullSafe(F.col("top_name")), "left").select("name", "value", F.coalesce("kept", F.lit(False)).alias("kept"), small.alias("small"))
+    label = F.when(F.col("kept"), F.col("name")).otherwise("others")
+    grouped = marked.groupBy(label.alias("name"), (~F.col("kept")).alias("is_others")).agg(F.sum("value").alias("value"), F.count("*").alias("categories"), F.count_if("small").alias("below_min_sample"))
+    whole = F.lit(float(total)) if total is not None else F.sum("value").over(Window.partitionBy(F.lit(1)))
+    return grouped.withColumn("share", F.try_divide(F.col("value"), F.when(whole != 0, whole)))
+
+
+def contribution(df: DataFrame, name: str, current: str, baseline: str, additive: bool = True) -> DataFrame:
+    """T-03: each category's part of the total change; refuses measures that don't add up."""
+    if not additive:
+        raise ValueError("contribution needs an additive measure")
+    d = df.select(F.col(name).alias("name"), F.coalesce(F.col(current).cast("double"), F.lit(0.0)).alias("current"), F.coalesce(F.col(baseline).cast("double"), F.lit(0.0)).alias("baseline"))
+    sums = d.agg(F.sum("current").alias("c"), F.sum("baseline").alias("b"))
+    delta, total = F.col("current") - F.col("baseline"), F.col("c") - F.col("b")
+    return d.crossJoin(F.broadcast(sums)).select("name", "current", "baseline", delta.alias("delta"), F.try_divide(delta, F.when(total != 0, total)).alias("share"), (delta * total < 0).alias("offsetting"))
+
+
+def combine_ratio(df: DataFrame, numerator: str, denominator: str) -> DataFrame:
+    """T-04: the pooled ratio, and the plain mean of ratios for contrast; a null part leaves the pool undefined."""
+    n, d = F.col(numerator).cast("double"), F.col(denominator).cast("double")
+    whole = F.count_if(n.isNull() | d.isNull()) == 0
+    pooled = F.when(whole, F.try_divide(F.sum(n), F.when(F.sum(d) != 0, F.sum(d))))
+    return df.agg(F.sum(n).alias("numerator"), F.sum(d).alias("denominator"), pooled.alias("ratio"), F.avg(F.try_divide(n, F.when(d != 0, d))).alias("unweighted"))
+
+
+def anomalies(series: DataFrame, label: str, value: str, method: str = "robust", threshold: float = 3.5, season: str | None = None, missing: str = "skip", min_points: int = 4) -> DataFrame:
+    """T-05 over a daily series (label YYYY-MM-DD): center, scale, score and flag of each point.
+
+    Robust: median and MAD x 1.4826, mean absolute deviation if MAD is zero. zscore: mean and population deviation. season
+    `weekday` or `month` takes out group medians of two points or more. missing `gap` carries the last value and never flags
+    it. expected is center + adjustment.
+    """
+    d = series.select(F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("raw"))
+    filled = F.lit(False)
+    if missing == "gap":
+        w = Window.partitionBy(F.lit(1)).orderBy("label").rowsBetween(Window.unboundedPreceding, 0)  # a series of days, not of rows
+        d, filled = d.withColumn("value", F.last("raw", True).over(w)), F.col("raw").isNull()
+    else:
+        d = d.withColumn("value", F.col("raw")).where("raw is not null")
+    d = d.withColumn("filled", filled)
+    d = d.withColumn("bucket", {"weekday": F.weekday(F.to_date("label")), "month": F.month(F.to_date("label"))}.get(season, F.lit(0)))
+    whole = d.agg(F.percentile("value", F.lit(0.5)).alias("overall"), F.count("value").alias("n"))
+    if season:
+        groups = d.groupBy("bucket").agg(F.percentile("value", F.lit(0.5)).alias("m"), F.count("value").alias("k")).where("k >= 2").select("bucket", "m")
+        d = d.join(F.broadcast(groups), "bucket", "left").crossJoin(F.broadcast(whole)).withColumn("adjustment", F.coalesce(F.col("m") - F.col("overall"), F.lit(0.0)))
+    else:
+        d = d.crossJoin(F.broadcast(whole)).withColumn("adjustment", F.lit(0.0))
+    d = d.withColumn("adjusted", F.col("value") - F.col("adjustment"))
+    if method == "robust":
+        center = d.agg(F.percentile("adjusted", F.lit(0.5)).alias("center"))
+        away = d.crossJoin(F.broadcast(center))
+        spread = away.agg(F.percentile(F.abs(F.col("adjusted") - F.col("center")), F.lit(0.5)).alias("mad"), F.avg(F.abs(F.col("adjusted") - F.col("center"))).alias("mean_away"))
+        d = away.crossJoin(F.broadcast(spread)).withColumn("scale", F.when(F.col("mad") > 0, F.col("mad") * 1.4826).otherwise(F.col("mean_away")))
+    else:
+        d = d.crossJoin(F.broadcast(d.agg(F.avg("adjusted").alias("center"), F.stddev_pop("adjusted").alias("scale"))))
+    score = F.try_divide(F.col("adjusted") - F.col("center"), F.when(F.col("scale") > 0, F.col("scale")))
+    state = F.when(F.col("n") < min_points, "insufficient_data").when(F.col("scale") == 0, "constant_series").otherwise("ok")
+    return d.select("label", "value", (F.col("center") + F.col("adjustment")).alias("expected"), score.alias("score"), ((F.abs(score) >= threshold) & ~F.col("filled") & (state == "ok")).alias("is_anomaly"), state.alias("state"))
+
+
+def reconcile(cells: DataFrame, totals: DataFrame, period: str, value: str, total: str) -> DataFrame:
+    """T-07: sums of category cells against independently made totals, by period."""
+    sums = cells.groupBy(F.col(period).alias("period")).agg(F.sum(F.col(value)).alias("cells"), F.count("*").alias("n"))
+    t = totals.select(F.col(period).alias("period"), F.col(total).alias("total"))
+    out = sums.join(t, "period", "full")
+    gap = F.col("cells") - F.col("total")
+    ok = F.coalesce(F.abs(gap) <= F.greatest(F.lit(1e-9), F.abs(F.col("total")) * 1e-9), F.lit(False))
+    return out.select("period", "cells", "total", gap.alias("residual"), ok.alias("reconciled"))
+
+
+def result_aggregates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """G-12: sum, least, greatest, values and nulls of each numeric column in one pass."""
+    parts = [F.struct(F.lit(c).alias("column"), F.sum(F.col(c).cast("double")).alias("total"), F.min(F.col(c).cast("double")).alias("least"), F.max(F.col(c).cast("double")).alias("greatest"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls")) for c in columns]
+    return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+
+
+def percentiles(df: DataFrame, column: str, points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """G-17 and G-18: nearest rank and linear, exact."""
+    out = [(F.expr(f"percentile_disc({p}) within group (order by {column})").alias(f"p{round(p * 100)}_disc"), F.percentile(column, F.lit(p)).alias(f"p{round(p * 100)}_linear")) for p in points]
+    return df.agg(*(c for pair in out for c in pair))
+
+
+def paired_bootstrap(df: DataFrame, task: str, treatment: str, baseline: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
+    """G-21: 95 % interval of the mean difference, resampling tasks; only task means (one per task) reach the driver's sampler."""
+    import random
+
+    means = [r[0] for r in df.groupBy(task).agg(F.avg(F.col(treatment) - F.col(baseline)).alias("m")).orderBy(task).select("m").collect()]
+    r = random.Random(seed)
+    draws = sorted(sum(r.choices(means, k=len(means))) / len(means) for _ in range(rounds)) if means else []
+    at = lambda q: draws[min(len(draws) - 1, int(q * len(draws)))] if draws else None
+    return df.sparkSession.createDataFrame([(len(means), sum(means) / len(means) if means else None, at(0.025), at(0.975))], "tasks long, mean double, low double, high double")
+
+
+def telemetry(spans: DataFrame, kind: str, start: str, end: str) -> DataFrame:
+    """G-22: count, sum and greatest duration by kind, and the whole window."""
+    took = F.col(end) - F.col(start)
+    return spans.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.sum(took).alias("total"), F.max(took).alias("longest"), (F.max(end) - F.min(start)).alias("window"))
+
+
+def chart(columns: list[str], kinds: dict[str, str], rows: list[dict], additive: bool = True, most: int = 8) -> dict:
+    """T-06 and T-11: line, bar, metric or table with the named reason, by ordered rules over a bounded result."""
+    numbers = [c for c in columns if kinds.get(c) in ("integer", "float", "decimal")]
+    labels = [c for c in columns if c not in numbers]
+    if not rows:
+        return {"chart": "table", "reason": "no_rows"}
+    if len(labels) > 2:
+        return {"chart": "table", "reason": "too_many_dimensions"}
+    if not numbers:
+        return {"chart": "table", "reason": "no_measure"}
+    if not labels:
+        return {"chart": "metric", "reason": "single_value"} if len(rows) == 1 else {"chart": "table", "reason": "no_label"}
+    if any(kinds.get(c) in ("date", "timestamp") or c == "period" for c in labels):
+        return {"chart": "line", "x": labels[0], "y": numbers[0], "reason": "time_series", "rows": [r for r in rows if r.get(numbers[0]) is not None]}
+    if additive and len(rows) <= most and "share" in numbers and all((r["share"] or 0) >= 0 for r in rows):
+        return {"chart": "pie", "x": labels[0], "y": "share", "reason": "shares"}
+    return {"chart": "bar", "x": labels[0], "y": numbers[0], "reason": "categories"}
+
+
+def findings(aggregates: list[dict]) -> list[str]:
+    """T-12: limitations of degenerate results instead of trends."""
+    out = []
+    for a in aggregates:
+        if a["n"] == 0:
+            out.append(f"{a['column']}: {'no rows' if not a['nulls'] else 'all values are null'}")
+        elif a["n"] == 1:
+            out.append(f"{a['column']}: a single point has no trend")
+        elif a["greatest"] < 0:
+            out.append(f"{a['column']}: all values are negative")
+    return out
+
+
+def check_answer(numbers: dict[str, float], evidence: dict[str, float]) -> list[str]:
+    """T-13: each cited number must resolve to its evidence and equal it."""
+    return [f"unknown evidence {k}" if k not in evidence else f"{k} differs" for k, v in numbers.items() if k not in evidence or abs(v - evidence[k]) > 1e-9 * max(1, abs(v))]
+
+
+def same_result(a: DataFrame, b: DataFrame) -> DataFrame:
+    """V-16: rows that one result has more often than the other; empty if they are equal multisets."""
+    columns = [F.col(f"`{c}`") for c in a.columns]
+    left, right = a.select(*columns), b.select(*columns)
+    return reduce(DataFrame.unionByName, (left.exceptAll(right).withColumn("side", F.lit("left")), right.exceptAll(left).withColumn("side", F.lit("right"))))
