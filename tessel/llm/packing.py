@@ -13,8 +13,8 @@ each; an empty table gives an empty result; only doc_id, source and text are rea
 
 from __future__ import annotations
 
-import base64
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rows, stage
+from tessel.llm.common import Rows, slices, stage
 
 UNIT = 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -42,8 +42,12 @@ class Phase:
     carried: np.ndarray  # deficits, in units
     quanta: np.ndarray
 
-    def cum(self, source: np.ndarray | slice, r: np.ndarray) -> np.ndarray:
-        return np.minimum(self.left[source], (self.carried[source] + r * self.quanta[source]) // UNIT)
+    def cum(self, r: np.ndarray) -> np.ndarray:
+        """Tokens that each queue has served of this phase after r rounds, one row a queue."""
+        return np.minimum(self.left[:, None], (self.carried[:, None] + r * self.quanta[:, None]) // UNIT)
+
+    def done(self) -> np.ndarray:
+        return self.served + self.cum(np.array([self.rounds]))[:, 0]
 
 
 def schedule(totals: list[int], weights: list[float] | None = None, window: int = 1024) -> list[Phase]:
@@ -59,26 +63,30 @@ def schedule(totals: list[int], weights: list[float] | None = None, window: int
         carried = np.where(live, carried, 0)
         rounds = int(min(-((int(c) - int(n) * UNIT) // int(q)) for n, c, q in zip(left[live], carried[live], quanta[live])))
         p = Phase(rounds, stream, served, left, carried, quanta)
-        done = p.cum(slice(None), np.int64(rounds))
+        done = p.cum(np.array([rounds]))[:, 0]
         out.append(p)
         stream, served, carried, left = stream + int(done.sum()), served + done, np.where(left > done, (carried + rounds * quanta) % UNIT, 0), left - done
     return out
 
 
-def pieces_of(phases: list[Phase], source: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position in the stream, offset in the document, length) of the runs that a document at [start, start + n) of its queue is cut into."""
+def pieces_of(phases: list[Phase], source: int, start: int, n: int, ends: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position in the stream, offset in the document, length) of the runs that a document at [start, start + n) of its queue is cut into.
+
+    ends: what the source has served after each phase, if known already.
+    """
+    ends = ends or [int(p.done()[source]) for p in phases]
     at, off, size = [], [], []
-    for p in phases:
-        lo, hi = max(start, int(p.served[source])), min(start + n, int(p.served[source] + min(p.left[source], (p.carried[source] + p.rounds * p.quanta[source]) // UNIT)))
-        if lo >= hi:
-            continue
-        base, c, q = int(p.served[source]), int(p.carried[source]), int(p.quanta[source])
+    for i in range(bisect_right(ends, start), len(phases)):
+        p, base = phases[i], ends[i - 1] if i else 0
+        if base >= start + n:
+            break
+        lo, hi = max(start, base), min(start + n, ends[i])
+        c, q = int(p.carried[source]), int(p.quanta[source])
         first, last = (-((c - (j + 1) * UNIT) // q) for j in (lo - base, hi - 1 - base))
-        r = np.arange(first, last + 1, dtype=np.int64)
-        begin, end = p.cum(source, r - 1), p.cum(source, r)
-        stream = np.full(len(r), p.stream, np.int64)
-        for s in np.nonzero(p.quanta)[0]:  # earlier rounds of all queues, and this round's queues before this one
-            stream += p.cum(s, r if s < source else r - 1)
+        cum = p.cum(np.arange(first - 1, last + 1, dtype=np.int64))
+        begin, end = cum[source, :-1], cum[source, 1:]
+        # earlier rounds of all queues, and this round's queues before this one
+        stream = p.stream + cum[:source, 1:].sum(0) + cum[source:, :-1].sum(0)
         b, e = np.maximum(begin, lo - base), np.minimum(end, hi - base)
         keep = e > b
         at.append((stream + b - begin)[keep])
@@ -174,15 +182,20 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, window: int = 1024, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, phases, total = plan.value
-        index, rows = {s: i for i, s in enumerate(names)}, Rows(PIECES, 50_000)
-        for b in batches:
-            for doc, source, start, n, ids in zip(*(c.to_pylist() for c in b.columns)):
-                values = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
-                view = memoryview(values).cast("B")
-                for s, i, o, m in zip(*(x.tolist() for x in cut(*pieces_of(phases, index[source], start, n), total, window))):
-                    if rows.add(doc, o, m, zlib.crc32(view[4 * o : 4 * (o + m)]), n, s, i, source):
-                        yield from rows.take()
-        yield from rows.take()
+        index = {s: i for i, s in enumerate(names)}
+        ends = np.stack([p.done() for p in phases], 1).tolist() if phases else []
+        for b in slices(batches):
+            found, crcs = [], []
+            for source, start, n, ids in zip(*(c.to_pylist() for c in b.columns[1:])):
+                own = index[source]
+                found.append(cut(*pieces_of(phases, own, start, n, ends[own]), total, window))
+                view = memoryview(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")).cast("B")
+                at = 4 * found[-1][2]
+                crcs += [zlib.crc32(view[i:j]) for i, j in zip(at.tolist(), (at + 4 * found[-1][3]).tolist())]
+            if found:
+                sequence, offset, at, size = (np.concatenate(x) for x in zip(*found))
+                row = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+                yield pa.record_batch([b.column(0).take(row), pa.array(at), pa.array(size), pa.array(crcs, pa.int64()), b.column(3).take(row), pa.array(sequence), pa.array(offset), b.column(1).take(row)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     placed = tokens.join(offsets, ["source", "part"]).select("doc_id", "source", (F.col("start") + F.col("before")).alias("start"), "n", "ids")
     return placed.mapInArrow(run, PIECES)
