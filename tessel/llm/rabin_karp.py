@@ -2,7 +2,9 @@
 
 Windows of candidate texts (see repeats) are hashed to 96 bits and dealt to buckets by hash as packed arrays. A window
 repeated inside a batch, or in a text with copies, is known as repeated at once and sent once for the others to see,
-so a hot window costs one entry a batch. A bucket answers with the positions of windows seen elsewhere.
+so a hot window costs one entry a batch. A bucket answers with the positions of windows seen elsewhere. Windows go
+to buckets by their seed, which equal windows share, so that a bucket answers for whole runs of a text and answers grow
+with runs whatever the number of buckets; windows of very frequent seeds go by their own hash.
 
 Defined cases: a null text has no words; texts shorter than a window keep all words; equal rows (ties) count as other
 places, so both lose their windows; an empty table gives an empty result; only doc_id and text are read.
@@ -56,10 +58,11 @@ def send(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for part in slices(batches, 2000):
             if part.num_rows:
                 keys = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], 1)
-                copies, runs, high, low, doc, pos = part.column(3).to_numpy(), part.column(4).to_pylist(), [], [], [], []
+                copies, runs, wide = part.column(3).to_numpy(), part.column(4).to_pylist(), part.column(5).to_pylist()
+                high, low, doc, pos, route = [], [], [], [], []
                 for i, text in enumerate(as_bytes(part.column(2))):
                     h = word_hashes(text.split())
-                    _, first, last = word_runs(h, window, one)
+                    seeds, first, last = word_runs(h, window, one)
                     picked = np.zeros(len(h) - window + 2, np.int64)
                     which = np.array(runs[i])
                     np.add.at(picked, first[which], 1)
@@ -69,9 +72,12 @@ def send(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     low.append((two.windows(mix(h), window)[p] >> np.uint64(32)).astype(np.uint32))
                     doc.append(np.full(len(p), i, np.int64))
                     pos.append(p)
-                high, low, doc, pos = map(np.concatenate, (high, low, doc, pos))
+                    run_of, own_hash = np.searchsorted(first, p, "right") - 1, np.zeros(len(first), bool)
+                    own_hash[np.array(wide[i], np.int64)] = True
+                    route.append(np.where(own_hash[run_of], high[-1], mix(seeds[run_of])))
+                high, low, doc, pos, route = map(np.concatenate, (high, low, doc, pos, route))
                 order = np.lexsort((low, high))
-                high, low, doc, pos = high[order], low[order], doc[order], pos[order]
+                high, low, doc, pos, route = high[order], low[order], doc[order], pos[order], route[order]
                 new = np.ones(len(high), bool)
                 new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
                 group = np.cumsum(new) - 1
@@ -82,7 +88,7 @@ def send(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                         rows.add(-1 - int(keys[0, 0] + n) % buckets, *_pack(own, high, low, doc, pos, keys))
                 sent = np.nonzero(new)[0]
                 at_sent = np.where(settled[sent], 0xFFFFFFFF, pos[sent])  # no answer is wanted for what is settled
-                bucket = (high[sent] >> np.uint64(20)) % np.uint64(buckets)
+                bucket = (route[sent] >> np.uint64(20)) % np.uint64(buckets)
                 by = np.argsort(bucket, kind="stable")
                 for own in np.split(by, np.nonzero(np.diff(bucket[by]))[0] + 1):
                     if len(own) and rows.add(int(bucket[own[0]]), *_pack(own, high[sent], low[sent], doc[sent], at_sent, keys), weight=24 * len(own)):
@@ -139,7 +145,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     d = keyed(docs)
     work = candidates(d.select("k1", "k2", "text"), lambda: seeder(window))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = work.select("k1", "k2", "text", "copies", "runs").mapInArrow(send(window, buckets), MESSAGE)
+    sent = work.select("k1", "k2", "text", "copies", "runs", "wide").mapInArrow(send(window, buckets), MESSAGE)
     replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, REPLY)
     places = replies.groupBy("k1", "k2").agg(F.collect_list("at").alias("at"))
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Rows, as_bytes, slices, sliding_min, stage, text_key
 
+#: A seed found more often is too frequent to meet in one place.
+WIDE = 10_000
 SEEDS = "k1 long, k2 long, seeds array<long>"
 
 
@@ -39,7 +41,7 @@ def runs_of(seed_by_window: np.ndarray, new: np.ndarray) -> Runs:
 
 
 def candidates(docs: DataFrame, seeds_of: Callable[[], Callable[[bytes], Runs]]) -> DataFrame:
-    """Staged (k1, k2, text, copies, runs): each distinct text with a repeated seed, how many rows have it, and the numbers of its repeated runs.
+    """Staged (k1, k2, text, copies, runs, wide): each distinct text with a repeated seed, how many rows have it, the numbers of its repeated runs, and those of them whose seed is found over WIDE times.
 
     docs has (k1, k2, text). seeds_of() gives a function from a text's bytes to its runs.
     """
@@ -58,9 +60,9 @@ def candidates(docs: DataFrame, seeds_of: Callable[[], Callable[[bytes], Runs]])
 
     found = stage(docs.mapInArrow(run, SEEDS), "seeds")
     # staged, so that the join below has a shuffle on either side and skewed seeds can be split
-    again = stage(found.select(F.explode("seeds").alias("seed")).groupBy("seed").count().where("count > 1").select("seed"), "again")
-    hits = found.select("k1", "k2", F.posexplode("seeds").alias("run", "seed")).join(again, "seed", "left_semi")
-    hits = hits.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"))
+    again = stage(found.select(F.explode("seeds").alias("seed")).groupBy("seed").count().where("count > 1").select("seed", (F.col("count") > WIDE).alias("wide")), "again")
+    hits = found.select("k1", "k2", F.posexplode("seeds").alias("run", "seed")).join(again, "seed")
+    hits = hits.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"), F.collect_set(F.when(F.col("wide"), F.col("run"))).alias("wide"))
     # copies of a text meet as partial results of map tasks, never as rows in one task
     texts = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     return stage(texts.join(hits, ["k1", "k2"]), "candidates")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessel.llm import chat, decontaminate, hmm, packing, quality, rabin_karp, secrets, simhash, suffix, warc
+from tessel.llm import chat, decontaminate, hmm, packing, quality, rabin_karp, repeats, secrets, simhash, suffix, warc
 from tessel.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, word string"
@@ -198,8 +198,10 @@ def covered(sequences, window):
         yield s, out
 
 
+@pytest.mark.parametrize("wide", [10_000, 2])
 @pytest.mark.parametrize("window", [3, 35])
-def test_word_windows(docs, empty, texts, window):
+def test_word_windows(docs, empty, texts, window, wide, monkeypatch):
+    monkeypatch.setattr(repeats, "WIDE", wide)
     got = by_id(rabin_karp.remove_repeats(docs, window))
     for i, (w, out) in enumerate(covered([(t or "").encode().split() for t in texts], window)):
         kept = [x for x, o in zip(w, out) if not o]
