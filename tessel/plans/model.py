@@ -21,6 +21,8 @@ class Entity:
     dimensions: dict[str, str] = field(default_factory=dict)
     hidden: frozenset[str] = frozenset()
     order_by: dict[str, str] = field(default_factory=dict)  # O-01: label column to its ordering companion
+    synonyms: tuple[str, ...] = ()
+    dimension_synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,7 @@ class Metric:
     additivity: str = "additive"  # additive, non_additive, semi_additive
     non_additive: frozenset[str] = frozenset()
     dimensions: frozenset[str] | None = None  # allowed; None: all reachable
+    synonyms: tuple[str, ...] = ()
 
 
 @dataclass

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessel.functions import calendar, scalars
 from tessel.operators import analysis, quality, retrieval
 from tessel.plans.model import Entity, Metric, Model, Relationship
+from tessel.plans import questions
 from tessel.plans.planner import Request, compile_request
 from tessel.sources import ingest
 
@@ -425,12 +426,34 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("item_id", "other_id", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("similarity")).where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= 0.2)
 
 
-@query("""with o as (select doc_id, text, source from documents where doc_id % 3 <> 0), n as (select doc_id, case when doc_id % 5 = 0 then text || '!' else text end as text, source from documents where doc_id % 2 = 0)
+@query(r"""with o as (select doc_id, coalesce(text, '') as text from documents), n as (select doc_id, trim(regexp_replace(text, ' +', ' ', 'g'), ' ') as text from o union all select -1 - page_id, coalesce(html, '') from pages)
     select doc_id, case when o.text is null then 'insert' when n.text is null then 'keep' when o.text = n.text then 'unchanged' else 'update' end as action from o full join n using (doc_id)""")
 def content_hash_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    d = tables(spark, sf)("documents").select("doc_id", "text", "source")
-    new = d.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return retrieval.upsert(d.where("doc_id % 3 <> 0"), new, "doc_id", ["text", "source"])
+    """Documents with tidied blanks, and all pages, into the documents."""
+    old = tables(spark, sf)("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    tidy = old.select("doc_id", F.trim(F.regexp_replace("text", " +", " ")).alias("text"))
+    pages = tables(spark, sf)("pages").select((-1 - F.col("page_id")).alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
+    return retrieval.upsert(old, tidy.unionByName(pages), "doc_id", ["text"])
+
+
+@query("""with q as (select c_mktsegment as segment, round(sum(o_totalprice), 2) as order_value from orders join customer on o_custkey = c_custkey where o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1998-01-01' and o_orderstatus = 'F' group by 1)
+    select segment as "customer.segment", order_value from q order by order_value desc, segment limit 3""")
+def question_top_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return answer(spark, sf, "Top 3 order value by customer segment in 1997 where status = 'F'")
+
+
+@query("""select o_orderpriority as "order.priority", strftime(o_orderdate, '%Y-%m') as period, count(*) as order_count from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1997-01-01' group by 1, 2""")
+def question_follow_up(spark: SparkSession, sf: str) -> DataFrame:
+    """A question by status; then by priority instead, then over time."""
+    request = questions.to_request(MODEL, "Order count by order status in 1996", date(2001, 8, 1))
+    for text in ("by order priority instead", "over time"):
+        request = questions.follow_up(MODEL, request, text, date(2001, 8, 1))[0]
+    return compile_request(MODEL, tables(spark, sf), request)
+
+
+def answer(spark: SparkSession, sf: str, question: str) -> DataFrame:
+    r = questions.to_request(MODEL, question, date(2001, 8, 1))
+    return ask(spark, sf, *r.metrics, dimensions=r.dimensions, grain=r.grain, ranges=r.ranges, where=r.where, limit=r.limit, descending=r.descending)
 
 
 @query("""select 'o_totalprice' as "column", round(sum(o_totalprice), 2) as total, min(o_totalprice) as least, max(o_totalprice) as greatest, count(o_totalprice) as n, cast(0 as bigint) as nulls from orders
