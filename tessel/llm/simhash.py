@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import Rows, arrow_schema, as_bytes, components, stage
@@ -42,17 +42,17 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row."""
-    ddl = "doc_id long, fp long"
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", more: list[Column] | None = None) -> DataFrame:
+    """(doc_id, fp long) for every row, and a column `more` (long) where one is given."""
+    ddl = "doc_id long, fp long" + (", more long" if more else "")
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in as_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(fps)], schema=schema)
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(fps), *b.columns[2:]], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.alias("more") for c in more or [])).mapInArrow(run, ddl)
 
 
 def bucket_links(fps: np.ndarray, mask: int, distance: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -112,13 +112,32 @@ def link_fingerprints(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return buckets.select("choice", "fps").mapInArrow(run, "u long, v long")
 
 
-def near_classes(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs; fingerprints within distance bits link."""
-    fps = stage(fingerprints(docs, words), "fps")
+def _classes(fps: DataFrame, distance: int) -> DataFrame:
+    """Staged fps(doc_id, fp, ...) with component (the least fingerprint of the class) and component_id (its least doc_id)."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     parts = components(link_fingerprints(distinct.select("fp"), distance))
     known = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     known = stage(known, "classes")
     ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = known.join(ids, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(known.join(ids, "component").select("fp", "component", "component_id"), "fp")
+
+
+def near_classes(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs; fingerprints within distance bits link."""
+    found = _classes(stage(fingerprints(docs, words), "fps"), distance)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+    """One row of each class of near copies, with docs's columns: that of the least doc_id, a null one only where no other is.
+
+    Rows of one doc_id and different texts are different documents; equal rows are copies. A class is reduced to its
+    least (id, text hash) before texts are joined, so that no task gathers a class.
+    """
+    fps = stage(fingerprints(docs, words, more=[F.xxhash64("text")]), "fps")
+    least = _classes(fps, distance).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "more")).alias("least"))
+    key = ["__near_id", "__near_none", "__near_text"]
+    parts = lambda doc_id, text: [F.coalesce(doc_id, F.lit(0)).alias(key[0]), doc_id.isNull().alias(key[1]), text.alias(key[2])]
+    keep = least.select(*parts(F.col("least.doc_id"), F.col("least.more")))
+    keyed = docs.select("*", *parts(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return keyed.join(keep, key, "left_semi").dropDuplicates(key).select(*docs.columns)

@@ -340,3 +340,16 @@ def test_pipeline(spark, tmp_path):
     assert left == {"quality_rules": [1, 2, 3, 5, 6], "near_duplicates": [1, 2, 5, 6], "decontamination": [1, 2, 6], "secret_scans": [1, 2, 6]}
     assert "abcdefghijklmnop" not in "".join(x.text for x in docs.collect())
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2, 6}
+
+
+def test_keep_one_handles_null_and_repeated_ids(spark):
+    from tessel.llm.simhash import keep_one
+
+    r = random.Random(4)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (3, b), (5, c), (5, d), (5, d), (0, None), (7, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, more string")
+    left = keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(None, a), (3, b), (5, c), (5, d), (0, None)], key=str)
+    assert keep_one(docs.where("false")).count() == 0
