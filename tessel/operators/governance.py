@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Plan nodes a query may have; functions that reach outside the data.
 ALLOWED = frozenset("Project Filter Join Aggregate Sort GlobalLimit LocalLimit Limit Distinct Union Intersect Except SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedWith OneRowRelation UnresolvedInlineTable UnresolvedHaving Offset Window LateralJoin Pivot Unpivot Generate WithWindowDefinition UnresolvedSetOperation".split())
 DANGEROUS = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length read_files load_extension pg_read_file lo_import dblink version current_user session_user user".split())
+#: Expressions that hold a plan; the predicate IN (...) itself holds a ListQuery.
+SUBQUERIES = frozenset("ScalarSubquery Exists ListQuery LateralSubquery".split())
 
 
 class PolicyError(ValueError):
@@ -44,18 +46,13 @@ def _each(seq) -> Iterator:  # noqa: ANN001
 
 
 def nodes(plan) -> Iterator:  # noqa: ANN001
-    """All plan nodes, those of CTEs and subqueries too."""
+    """All plan nodes, once each; a node's inner children are its CTEs and the plans of its subqueries."""
     yield plan
     for x in _each(plan.children()):
         yield from nodes(x)
     for x in _each(plan.innerChildren()):
         if hasattr(x, "children") and x.getClass().getName().startswith("org.apache.spark.sql.catalyst") and ".plans." in x.getClass().getName():
             yield from nodes(x)
-    for e in _each(plan.expressions()):
-        for x in expressions(e):
-            name = x.getClass().getName()
-            if "Subquery" in name or name.endswith("Exists") or "ListQuery" in name:
-                yield from nodes(x.plan())
 
 
 def expressions(e) -> Iterator:  # noqa: ANN001
@@ -140,7 +137,7 @@ def columns_read(spark: SparkSession, sql: str) -> dict[str, set[str]]:
             alias(x)
         for e in _each(n.expressions()):
             for x in expressions(e):
-                if "Subquery" in kind(x) or kind(x) in ("Exists", "ListQuery"):
+                if kind(x) in SUBQUERIES:
                     alias(x.plan())
 
     alias(analyzed)
@@ -154,7 +151,7 @@ def columns_read(spark: SparkSession, sql: str) -> dict[str, set[str]]:
                     if kind(x) == "AttributeReference" and x.exprId().id() in leaves:
                         t, c = leaves[x.exprId().id()]
                         out.setdefault(t, set()).add(c)
-                    elif "Subquery" in kind(x) or kind(x) in ("Exists", "ListQuery"):
+                    elif kind(x) in SUBQUERIES:
                         uses(x.plan(), False)
         for x in _each(n.children()):
             uses(x, inside)

@@ -114,3 +114,14 @@ def test_retrieval(spark):
     assert a.chart(["period", "v"], {"period": "text", "v": "float"}, [{"period": "a", "v": 1}])["chart"] == "line"
     b = a.paired_bootstrap(spark.createDataFrame([("a", 1.0, 0.0), ("b", 2.0, 1.0)], "t string, x double, y double"), "t", "x", "y").first()
     assert (b.mean, b.low, b.high) == (1.0, 1.0, 1.0)
+
+
+def test_policy_sees_into_subqueries(spark):
+    spark.range(3).createOrReplaceTempView("seen")
+    spark.range(3).selectExpr("id", "id as secret").createOrReplaceTempView("kept")
+    p = g.Policy({"seen": None})
+    for sql in ("select id from seen where id in (select id from kept)", "select id from seen where exists (select 1 from kept)", "select (select max(id) from kept) as m from seen"):
+        assert g.judge(spark, sql, p) == ["table_scope kept"]
+    p = g.Policy({"seen": None, "kept": frozenset({"id"})})
+    assert g.judge(spark, "select id from seen where id in (select id from kept)", p) == []
+    assert g.judge(spark, "select id from seen where id in (select secret from kept)", p) == ["column_scope kept.secret"]
