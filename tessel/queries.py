@@ -13,7 +13,7 @@ from tessel.operators import analysis, quality, retrieval
 from tessel.plans.model import Entity, Metric, Model, Relationship
 from tessel.plans import questions
 from tessel.plans.planner import Request, compile_request
-from tessel.sources import ingest
+from tessel.sources import ingest, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -478,3 +478,18 @@ def tumbling_hours(spark: SparkSession, sf: str) -> DataFrame:
     from tessel.streaming.windows import windowed_metric
 
     return windowed_metric(tables(spark, sf)("events"), "ts", ["event_type"], "value").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r2("total"))
+
+
+@query("""with t as (select unnest([{'place': 0, 'name': 'c_custkey', 'v': cast(c_custkey as varchar)}, {'place': 1, 'name': 'c_name', 'v': c_name}, {'place': 2, 'name': 'c_mktsegment', 'v': nullif(c_mktsegment, 'BUILDING')}]) as c from customer),
+    n as (select c.place as place, c.name as name, c.v as v, coalesce(trim(c.v) <> '', false) as filled from t)
+    select place, name, case when count(*) filter (where filled) > 0 and bool_and(not filled or try_cast(v as double) is not null) then 'NUMBER' else 'TEXT' end as type, count(*) filter (where not filled) as nulls from n group by 1, 2""")
+def csv_profile(spark: SparkSession, sf: str) -> DataFrame:
+    c = tables(spark, sf)("customer")
+    return upkeep.profile_csv(c.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment")))
+
+
+@query("""with m as (select o_orderpriority as priority, strftime(o_orderdate, '%Y-%m') as period from orders group by 1, 2), w as (select *, lag(period) over (partition by priority order by period) as previous from m) select priority, period, previous from w where previous >= period""")
+def period_order_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """No rows: each priority's months are in order."""
+    m = tables(spark, sf)("orders").groupBy(F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.min("o_orderdate").alias("first"))
+    return upkeep.period_order(m, "period", "first", ["priority"]).select("priority", "period", "previous")
