@@ -135,9 +135,16 @@ def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     least (id, text hash) before texts are joined, so that no task gathers a class.
     """
     fps = stage(fingerprints(docs, words, more=[F.xxhash64("text")]), "fps")
-    least = _classes(fps, distance).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "more")).alias("least"))
-    key = ["__near_id", "__near_none", "__near_text"]
-    parts = lambda doc_id, text: [F.coalesce(doc_id, F.lit(0)).alias(key[0]), doc_id.isNull().alias(key[1]), text.alias(key[2])]
-    keep = least.select(*parts(F.col("least.doc_id"), F.col("least.more")))
-    keyed = docs.select("*", *parts(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return keyed.join(keep, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return keep_least(docs, _classes(fps, distance).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "more")).alias("least")))
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """Columns that name a document: its id, null or not, and its text's hash."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("__near_id"), doc_id.isNull().alias("__near_none"), text.alias("__near_text")]
+
+
+def keep_least(docs: DataFrame, least: DataFrame) -> DataFrame:
+    """One row of docs for each row of least(least: struct of null or not, doc_id and the text's hash)."""
+    keep = least.select(*row_key(F.col("least.doc_id"), F.col("least.more")))
+    keyed = docs.select("*", *row_key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return keyed.join(keep, keep.columns, "left_semi").dropDuplicates(keep.columns).select(*docs.columns)

@@ -353,3 +353,49 @@ def test_keep_one_handles_null_and_repeated_ids(spark):
     assert left.columns == docs.columns
     assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(None, a), (3, b), (5, c), (5, d), (0, None)], key=str)
     assert keep_one(docs.where("false")).count() == 0
+
+
+def test_pipeline_finds_edited_copies(spark):
+    """Against all pairs of texts by exact similarity: copies with a few changed words, chains of edits, and half copies."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    prose = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    texts = []
+    for n in (60, 120, 200, 400, 2000):
+        for _ in range(4):
+            base = prose(n)
+            texts.append(base)
+            for changed in (n // 100 + 1, n // 60 + 1, n // 40, n // 25, n // 10):
+                copy = list(base)
+                for at in r.sample(range(n), changed):
+                    copy[at] = f"x{r.randrange(3000)}"
+                texts.append(copy)
+            texts.append(base[: n // 2] + prose(n - n // 2))
+    step = prose(150)
+    for i in range(12):  # each is near the one before, the ends are far apart
+        step = [*step[:12 * i], "y", *step[12 * i + 1 :]]
+        texts.append(step)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and parent[a] != parent[b]:
+                old, new = sorted((parent[a], parent[b]))[::-1]
+                parent = [new if p == old else p for p in parent]
+    assert len(set(parent)) < len(texts) - 40
+    docs = spark.createDataFrame([(i, " ".join(t).title() if i % 2 else "  ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(parent)
+
+
+def test_pipeline_near_copies_handle_null_and_repeated_ids(spark):
+    from tessel.llm.nearcopies import keep_one
+
+    r = random.Random(4)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, f"{b} more"), (3, b), (5, c), (5, d), (5, d), (6, f"{d} more"), (0, None), (7, ""), (9, None), (11, "two words"), (12, "two  Words")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, more string")
+    left = keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(None, a), (3, b), (5, c), (5, d), (0, None), (11, "two words")], key=str)
+    assert keep_one(docs.where("false")).count() == 0
