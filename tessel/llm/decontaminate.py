@@ -2,10 +2,14 @@
 
 Words lose their outer punctuation and case; numbers, names and units become typed slots. Every window of template tokens
 of the benchmark is hashed, and the corpus's windows are joined to them by hash. Hits on one diagonal (same shift
-between item and document) merge into runs; a long enough run is a leak if its slots are consistent: one value of the item
-always stands for one value in the document, and the reverse. Equal slots make an `exact` leak, others a
+between item and document) are judged together; enough of them are a leak if their slots are consistent: one value of the
+item always stands for one value in the document, and the reverse. Equal slots make an `exact` leak, others a
 `reparameterised` one.
 
+A capitalised word that opens a sentence or a line may be a name or not, so windows over such words are hashed up to three
+times: as words; as names where the same word is a name elsewhere in the text; all as names. The last two need
+LITERAL literal words in the window, so that lists of capitalised lines don't match each other.
+
 The benchmark is a stated query set: its windows are matched in blocks of at most `block` windows against all rows, so
 what is sent to executors has a fixed bound. Matching is a pass over the text; nothing is shuffled.
 
@@ -30,6 +34,7 @@ HITS = "doc_id long, item_id long, kind string, start_word long, end_word long,
 #: Units that may follow a number.
 UNITS = frozenset(b"% kg g mg lb lbs oz km m cm mm mi ft miles meters metres litres liters l ml hours hour hrs minutes minute min seconds second sec days day weeks week months month years year dollars dollar euros euro cents usd eur kmh mph".split())
 WORD, NUMBER, NAME, UNIT = range(4)
+LITERAL = 3
 _NUMBER = re.compile(rb"[+-]?[$\xe2\x82\xac]*\d[\d.,:/]*%?$")
 _OUTER = b"\"'`.,;:!?()[]{}<>*_~|#&"
 
@@ -85,6 +90,7 @@ class Tokens:
     slot: np.ndarray  # whether the token is a slot
     words: np.ndarray  # number of the word in the text
     first_name: bool  # whether the first token could be a name but for its place
+    others: list[np.ndarray]  # further templates, with words that open sentences as names
 
 
 def tokenise(text: bytes, lexicon: Lexicon) -> Tokens:
@@ -100,11 +106,16 @@ def tokenise(text: bytes, lexicon: Lexicon) -> Tokens:
     keep = (kind >= 0) & ~mark
     kind, literal, fresh, word_no = kind[keep], literal[keep], fresh[keep], word_no[keep]
     first_name = bool(len(kind) and kind[0] == NAME)
-    kind = np.where((kind == NAME) & fresh, WORD, kind).astype(np.int64)
+    opens, inside = (kind == NAME) & fresh, (kind == NAME) & ~fresh
+    kind = np.where(opens, WORD, kind).astype(np.int64)
     after_number = np.zeros(len(kind), bool)
     after_number[1:] = kind[:-1] == NUMBER
     kind = np.where((kind == UNIT) & ~after_number, WORD, kind)
-    return Tokens(np.where(kind == WORD, literal, SLOTS[kind]), literal, kind != WORD, word_no, first_name)
+    template, others = np.where(kind == WORD, literal, SLOTS[kind]), []
+    if opens.any():
+        known = opens & np.isin(literal, literal[inside])
+        others = [np.where(x, SLOTS[NAME], template) for x in ([known] if known.any() and (known != opens).any() else []) + [opens]]
+    return Tokens(template, literal, kind != WORD, word_no, first_name, others)
 
 
 @dataclass
@@ -141,6 +152,12 @@ def build(items: list[tuple[int, bytes]], window: int, block: int) -> Iterator[B
             other[0] = SLOTS[NAME]
             variants.append(rolling.windows(other, w))
             places.append(np.zeros(1, np.int64))
+        for template in t.others if w == window else []:
+            other = rolling.windows(template, w)
+            words = np.concatenate(([0], np.cumsum(template == t.literal)))
+            own = np.nonzero((other != h) & (words[w:] - words[:-w] >= LITERAL))[0]
+            variants.append(other[own])
+            places.append(own)
         hashes += variants
         at += places
         item.append(np.full(sum(map(len, variants)), len(ids), np.int64))
@@ -161,42 +178,56 @@ def consistent(a: np.ndarray, b: np.ndarray) -> bool:
     return len(set(zip(a.tolist(), b.tolist()))) == len(set(a.tolist())) == len(set(b.tolist()))
 
 
-def leaks(doc: Tokens, b: Block, rolling: Rolling, least: int) -> Iterator[tuple]:
-    """(item_id, kind, first word, one past the last, windows matched, windows of the item), the longest run of each item."""
+def judge(doc: Tokens, item: Tokens, shift: int, places: np.ndarray, w: int, need: int) -> tuple | None:
+    """(windows matched, kind, first word, one past the last) of one diagonal's matched windows, if their slots are consistent."""
+    if len(places) < need:
+        return None
+    s, e = int(places[0]), int(places[-1]) + w
+    differ = doc.literal[s:e] != item.literal[s - shift : e - shift]
+    covered = np.cumsum(np.bincount(places - s, minlength=e - s + 1) - np.bincount(places - s + w, minlength=e - s + 1))[:-1] > 0
+    own, his = slice(s, e), slice(s - shift, e - shift)
+    slot = covered & (doc.slot[own] | item.slot[his] | differ)
+    a, c = item.literal[his][slot], doc.literal[own][slot]
+    if not consistent(a, c):
+        return None
+    changed = np.concatenate(([0], np.cumsum(differ)))
+    exact = not (changed[places - s + w] - changed[places - s]).any()
+    return len(places), "exact" if exact else "reparameterised", int(doc.words[places[0]]), int(doc.words[places[-1] + w - 1]) + 1
+
+
+def leaks(doc: Tokens, b: Block, rolling: Rolling, least: int, window: int) -> Iterator[tuple]:
+    """(item_id, kind, first word, one past the last, windows matched, windows of the item), the best diagonal of each item."""
     found: dict[tuple[int, int], list[int]] = {}
     for w in sorted(set(b.sizes)):
         h = rolling.windows(doc.template, w)
         if not len(h):
             continue
+        at = np.arange(len(h))
+        if w == window and doc.others:
+            more = [(own := np.nonzero((x := rolling.windows(template, w)) != h)[0], x[own]) for template in doc.others]
+            at, h = np.concatenate([at, *(x for x, _ in more)]), np.concatenate([h, *(x for _, x in more)])
         lo = np.searchsorted(b.hashes, h)
-        for p in np.nonzero(b.hashes[np.minimum(lo, len(b.hashes) - 1)] == h)[0].tolist():
-            i = int(lo[p])
-            while i < len(b.hashes) and b.hashes[i] == h[p]:
+        for k in np.nonzero(b.hashes[np.minimum(lo, len(b.hashes) - 1)] == h)[0].tolist():
+            i, p = int(lo[k]), int(at[k])
+            while i < len(b.hashes) and b.hashes[i] == h[k]:
                 n = int(b.item[i])
                 if b.sizes[n] == w:
                     found.setdefault((n, p - int(b.at[i])), []).append(p)
                 i += 1
     best: dict[int, tuple] = {}
     for (n, shift), places in found.items():
-        places = sorted(set(places))
-        item, w = b.tokens[n], b.sizes[n]
         need = min(least, max(1, b.windows[n] - 1))  # what starts an item may differ
-        for run in np.split(np.array(places), np.nonzero(np.diff(places) > 1)[0] + 1):
-            if len(run) < need or (n in best and best[n][0] >= len(run)):
-                continue
-            s, e = int(run[0]), int(run[-1]) + w
-            own, his = slice(s, e), slice(s - shift, e - shift)
-            slot = doc.slot[own] | item.slot[his]
-            a, c = item.literal[his][slot], doc.literal[own][slot]
-            if not consistent(a, c):
-                continue
-            best[n] = (len(run), "exact" if (doc.literal[own] == item.literal[his]).all() else "reparameterised", int(doc.words[s]), int(doc.words[e - 1]) + 1)
+        if len(places) < need:
+            continue
+        own = judge(doc, b.tokens[n], shift, np.unique(places), b.sizes[n], need)
+        if own and (n not in best or best[n][0] < own[0]):
+            best[n] = own
     for n, (size, kind, s, e) in best.items():
         yield b.ids[n], kind, s, e, size, b.windows[n]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6, block: int = 500_000) -> DataFrame:
-    """One row per row of docs and leaked item. A leak needs a run of `least` windows, or all but one of an item's if it has no more."""
+    """One row per row of docs and leaked item. A leak needs `least` windows on one diagonal, or all but one of an item's if it has no more."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), "text")
     out = spark.createDataFrame([], HITS)
@@ -208,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
             rolling, lexicon, rows = Rolling(), Lexicon(), Rows(HITS)
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                    for hit in leaks(tokenise(text, lexicon), sent.value, rolling, least):
+                    for hit in leaks(tokenise(text, lexicon), sent.value, rolling, least, window):
                         if rows.add(doc, *hit):
                             yield from rows.take()
             yield from rows.take()

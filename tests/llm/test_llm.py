@@ -399,3 +399,26 @@ def test_pipeline_near_copies_handle_null_and_repeated_ids(spark):
     assert left.columns == docs.columns
     assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(None, a), (3, b), (5, c), (5, d), (0, None), (11, "two words")], key=str)
     assert keep_one(docs.where("false")).count() == 0
+
+
+def leaked(spark, texts, item):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.kind, r.matched_windows) for r in decontaminate.contaminated(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+
+
+def test_leaks_with_names_that_open_sentences(spark):
+    got = leaked(
+        spark,
+        ["Tom has 7 dogs. Tom buys 2 more dogs. How many dogs does Tom have now?", "So Tom has 7 dogs.\nTom buys 2 more dogs. How many dogs does Tom have now?", "Tom has 7 dogs. Ann buys 2 more dogs. How many cats does Tim have now?"],
+        "Sam has 4 dogs. Sam buys 3 more dogs. How many dogs does Sam have now?",
+    )
+    assert got == {0: ("reparameterised", 9), 1: ("reparameterised", 9)}
+    got = leaked(spark, ["Tom walked to the mill by the river. Tom then sold 9 sacks."], "Ann walked to the mill by the river. Ann then sold 4 sacks.")  # no name in mid-sentence
+    assert got == {0: ("reparameterised", 6)}
+    lines = "\n".join(f"{x}a\n{x}b" for x in "ABCDEFGHIJ")
+    assert leaked(spark, [lines.replace("a", "c")], lines) == {}
+
+
+def test_leaks_of_a_diagonal(spark):
+    w = [f"w{chr(97 + i)}x" for i in range(24)]
+    assert leaked(spark, [" ".join([*w[:12], "other", *w[13:]]), " ".join([*w[:10], "other", *w[11:14], "more", *w[15:]])], " ".join(w)) == {0: ("exact", 9)}
