@@ -3,8 +3,8 @@
 Words lose their outer punctuation and case; numbers, names and units become typed slots. Every window of template tokens
 of the benchmark is hashed, and the corpus's windows are joined to them by hash. Hits on one diagonal (same shift
 between item and document) are judged together; enough of them are a leak if their slots are consistent: one value of the
-item always stands for one value in the document, and the reverse. Equal slots make an `exact` leak, others a
-`reparameterised` one.
+item always stands for one value in the document, and the reverse. Of a diagonal whose
+slots conflict, the largest consistent part is taken. Equal slots make an `exact` leak, others a `reparameterised` one.
 
 A capitalised word that opens a sentence or a line may be a name or not, so windows over such words are hashed up to three
 times: as words; as names where the same word is a name elsewhere in the text; all as names. The last two need
@@ -20,6 +20,7 @@ item_id, repeated documents by row; empty tables give an empty result; only the
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -179,7 +180,7 @@ def consistent(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def judge(doc: Tokens, item: Tokens, shift: int, places: np.ndarray, w: int, need: int) -> tuple | None:
-    """(windows matched, kind, first word, one past the last) of one diagonal's matched windows, if their slots are consistent."""
+    """(windows matched, kind, first word, one past the last) of one diagonal's matched windows, if a consistent part of them is large enough."""
     if len(places) < need:
         return None
     s, e = int(places[0]), int(places[-1]) + w
@@ -189,12 +190,48 @@ def judge(doc: Tokens, item: Tokens, shift: int, places: np.ndarray, w: int, nee
     slot = covered & (doc.slot[own] | item.slot[his] | differ)
     a, c = item.literal[his][slot], doc.literal[own][slot]
     if not consistent(a, c):
-        return None
+        places = consistent_part(places, np.nonzero(slot)[0] + s, a.tolist(), c.tolist(), w)
+        if len(places) < need:
+            return None
     changed = np.concatenate(([0], np.cumsum(differ)))
     exact = not (changed[places - s + w] - changed[places - s]).any()
     return len(places), "exact" if exact else "reparameterised", int(doc.words[places[0]]), int(doc.words[places[-1] + w - 1]) + 1
 
 
+def consistent_part(places: np.ndarray, at: np.ndarray, a: list[int], b: list[int], w: int) -> np.ndarray:
+    """The most of places whose slots (at, values a and b) are one to one: without what differs, without what breaks the commonest pairs, or one stretch."""
+
+    def without(odd: list[bool]) -> np.ndarray:
+        bad = at[np.array(odd, bool)]
+        return places[np.searchsorted(bad, places) == np.searchsorted(bad, places + w)]
+
+    there, back = {}, {}
+    for (x, y), _ in Counter(zip(a, b)).most_common():
+        if x not in there and y not in back:
+            there[x], back[y] = y, x
+    found = [without([x != y for x, y in zip(a, b)]), without([there.get(x) != y for x, y in zip(a, b)])]
+    first = last = low = 0  # slots first to last - 1 are held, and the stretch begins at places[low]
+    held, forth, to = Counter(), {}, {}
+    best = (0, 0)
+    for high, p in enumerate(places.tolist()):
+        while last < len(at) and at[last] < p + w:
+            x, y = a[last], b[last]
+            while forth.get(x, y) != y or to.get(y, x) != x:  # let go of what it conflicts with
+                u, v = a[first], b[first]
+                held[u, v] -= 1
+                if not held[u, v]:
+                    del forth[u], to[v]
+                first += 1
+            held[x, y] += 1
+            forth[x], to[y] = y, x
+            last += 1
+        while low <= high and first and places[low] <= at[first - 1]:
+            low += 1
+        if high + 1 - low > best[1] - best[0]:
+            best = (low, high + 1)
+    return max([*found, places[slice(*best)]], key=len)
+
+
 def leaks(doc: Tokens, b: Block, rolling: Rolling, least: int, window: int) -> Iterator[tuple]:
     """(item_id, kind, first word, one past the last, windows matched, windows of the item), the best diagonal of each item."""
     found: dict[tuple[int, int], list[int]] = {}

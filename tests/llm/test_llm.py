@@ -422,3 +422,34 @@ def test_leaks_with_names_that_open_sentences(spark):
 def test_leaks_of_a_diagonal(spark):
     w = [f"w{chr(97 + i)}x" for i in range(24)]
     assert leaked(spark, [" ".join([*w[:12], "other", *w[13:]]), " ".join([*w[:10], "other", *w[11:14], "more", *w[15:]])], " ".join(w)) == {0: ("exact", 9)}
+
+
+def test_leaks_with_an_odd_slot(spark):
+    """One of two equal values changed, two different ones equal, and a slot that conflicts in the middle of a passage."""
+    w = [f"w{chr(97 + i)}x" for i in range(20)]
+    item = " ".join([*w[:10], "12", *w[10:], "12", "and", "Bob", *w[::-1], "15"])
+    odd = [item.replace("12", "15", 1), item.replace("15", "12"), item.replace("12 and", "15 and"), item.replace("12", "7").replace("7 and", "8 and")]
+    got = leaked(spark, odd, item)
+    assert set(got) == {0, 1, 2, 3} and min(n for _, n in got.values()) > 20
+    assert got[0][0] == got[1][0] == got[2][0] == "exact"
+    short = "Alice has 12 apples and gives 5 apples to Bob before lunch on Monday."
+    assert leaked(spark, ["Well, Carol has 40 apples and gives 40 apples to Carol before lunch on Friday."], short) == {}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_consistent_part(seed):
+    """A part that is returned is one to one, and not smaller than the longest stretch or the equal windows."""
+    import numpy as np
+
+    r, w = random.Random(seed), 4
+    for _ in range(60):
+        n = r.randrange(5, 40)
+        a, b = ([r.randrange(4) for _ in range(n)] for _ in range(2))
+        b = [y if r.random() < 0.3 else x + 1 for x, y in zip(a, b)]
+        places = np.array(sorted(r.sample(range(n - w + 1), r.randrange(1, n - w + 2))))
+        fits = lambda ps: decontaminate.consistent(*(np.array([v[t] for t in sorted({t for p in ps for t in range(p, p + w)})]) for v in (a, b)))
+        at = np.array(sorted({t for p in places.tolist() for t in range(p, p + w)}))
+        got = decontaminate.consistent_part(places, at, [a[t] for t in at], [b[t] for t in at], w).tolist()
+        stretch = max(j - i for i in range(len(places)) for j in range(i + 1, len(places) + 1) if fits(places[i:j].tolist())) if any(fits([p]) for p in places.tolist()) else 0
+        equal = sum(a[p : p + w] == b[p : p + w] for p in places.tolist())
+        assert (not got or fits(got)) and len(got) >= max(stretch, equal)
