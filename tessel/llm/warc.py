@@ -55,7 +55,8 @@ def member(plain: bytes, level: int = 4) -> bytes:
 def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     """(headers, payload, end) of the record at `at`; ValueError where a check fails."""
     m = LINE.match(data, at)
-    if not m or (end := data.find(b"\r\n\r\n", at, at + 65536)) < 0:
+    # a header has any length, but no further version line
+    if not m or (end := data.find(b"\r\n\r\n", at)) < 0 or LINE.search(data, m.end(), end):
         raise ValueError("version line or header")
     head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in data[m.end() : end].decode("utf-8").split("\r\n") if ":" in x)}
     n = int(head["content-length"]) if head.get("content-length", "").isdigit() else -1

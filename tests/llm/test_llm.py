@@ -174,6 +174,16 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_long_urls(spark):
+    rows = [(1, "u", "short"), (2, "http://e.org/?q=" + "x" * 100_000, "long url"), (3, "data:" + "é" * 100_000, None), (4, "u", "last")]
+    got = {r.page_id: r.payload_bytes for r in warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: len(h or "") for i, _, h in rows}
+    first, second = (warc.record(i, "u" * 100_000, b"p" * 50, "response", None, hashlib.sha256(b"p" * 50).hexdigest()) for i in range(2))
+    broken = first.replace(b"\r\n\r\n", b"\r\n")  # the next blank line is the next record's
+    out = list(warc.salvage(broken + second))
+    assert out[0] == (0, len(broken)) and [x[0]["warc-record-id"] for x in out[1:]] == ["<urn:page:1>"]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_warc_salvage(packed):
     plain = [warc.record(i, "u", b"p" * (50 + i), "response", None, hashlib.sha256(b"p" * (50 + i)).hexdigest()) for i in range(5)]
