@@ -3,7 +3,8 @@
 Each task writes gzip members, one per record, to files of a bounded size and returns their names; only the files of
 tasks that succeeded are in the manifest, so retries leave no doubles. The reader checks each member, version line,
 length and digest; where a check fails it searches for the next member or version line that passes, goes on there and logs
-the bytes between as a quarantined gap.
+the bytes between as a quarantined gap. Of a damaged member the records that pass are kept, before and after
+the damage.
 
 Defined cases: a null payload is empty; equal payloads of the same page_id (repeated rows) are all responses; a null
 page_id cannot be referred to unless it is the only one; an empty table gives no archives and no rows.
@@ -75,42 +76,81 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     return head, payload, begin + n + 4
 
 
-def inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The gzip member at `at` and its end."""
+def inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, bool]:
+    """What can be inflated of the gzip member at `at`, where its reading ended, and whether it is undamaged."""
     z, out, pos = zlib.decompressobj(31), [], at
-    while not z.eof:
-        if pos >= len(data):
-            raise ValueError("member is cut short")
-        out.append(z.decompress(data[pos : pos + step]))
-        pos += step
-    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
+    try:
+        while not z.eof and pos < len(data):
+            out.append(z.decompress(data[pos : pos + step]))
+            pos += step
+        return b"".join(out), min(pos, len(data)) - len(z.unused_data), z.eof
+    except zlib.error:  # the failing step again, byte by byte, for what it holds before the damage
+        z, out, bad = zlib.decompressobj(31), [], pos
+        for pos in range(at, bad, step):
+            out.append(z.decompress(data[pos : pos + step]))
+        for pos in range(bad, min(bad + step, len(data))):
+            try:
+                out.append(z.decompress(data[pos : pos + 1]))
+            except zlib.error:
+                break
+        return b"".join(out), pos + 1, False
+
+
+def records(plain: bytes) -> tuple[list[tuple[dict, bytes]], bool]:
+    """The records of a member's bytes that pass, and whether nothing else is there."""
+    found, pos, whole = [], 0, True
+    while pos < len(plain):
+        try:
+            head, payload, pos = parse(plain, pos)
+            found.append((head, payload))
+        except (ValueError, KeyError):
+            following, whole = LINE.search(plain, pos + 1), False
+            pos = following.start() if following else len(plain)
+    return found, whole
 
 
 def salvage(data: bytes) -> Iterator[tuple[dict, bytes] | tuple[int, int]]:
-    """Records as (headers, payload), and gaps as (from, to) byte offsets in the file."""
+    """Records as (headers, payload), and gaps as (from, to) byte offsets in the file.
+
+    A damaged member gives the records in it that pass, and is a gap as a whole.
+    """
     at, bad = 0, None
+    known, until = set(), 0  # records of a damaged member, and where its reading ended: stored blocks show them again
+    name = lambda head: (head.get("warc-record-id"), head["warc-block-digest"])
     starts = re.compile(re.escape(MEMBER) + rb"|WARC/1\.[01]\r\n")
     while at < len(data):
-        try:
-            if data.startswith(MEMBER, at):
-                plain, end = inflate(data, at)
-                found, pos = [], 0
-                while pos < len(plain):
-                    head, payload, pos = parse(plain, pos)
-                    found.append((head, payload))
-            else:
+        if data.startswith(MEMBER, at):
+            plain, end, sound = inflate(data, at)
+            found, whole = records(plain)
+            whole = whole and sound
+        else:
+            sound = whole = True
+            try:
                 head, payload, end = parse(data, at)
                 found = [(head, payload)]
-        except (ValueError, KeyError, zlib.error):
-            bad = at if bad is None else bad
-            following = starts.search(data, at + 1)
-            at = following.start() if following else len(data)
+            except (ValueError, KeyError):
+                found, sound, whole = [], False, False
+        if at < until and found:
+            found = [x for x in found if name(x[0]) not in known]
+            if whole and not found:
+                at = end
+                continue
+        if whole:
+            if bad is not None:
+                yield bad, at
+                bad = None
+            yield from found
+            at = end
             continue
-        if bad is not None:
-            yield bad, at
-            bad = None
         yield from found
-        at = end
+        bad = at if bad is None else bad
+        if sound:
+            at = end
+            continue
+        if found:
+            known, until = (known if at < until else set()) | {name(x[0]) for x in found}, max(until, end)
+        following = starts.search(data, at + 1)
+        at = following.start() if following else len(data)
     if bad is not None:
         yield bad, len(data)
 

@@ -198,6 +198,29 @@ def test_warc_salvage(packed):
     assert gaps == [(at, at + len(parts[2])), (at + len(parts[2]) + len(parts[3]), len(data))]
 
 
+@pytest.mark.parametrize("level", [0, 4])
+def test_warc_salvage_inside_members(level):
+    r = random.Random(8)
+    plain = []
+    for i in range(40):
+        payload = bytes(r.choice(b"abcdefghijklmnop") for _ in range(5000))
+        plain.append(warc.record(i, "u", payload, "response", None, hashlib.sha256(payload).hexdigest()))
+    ids = lambda data: [int(x[0]["warc-record-id"][10:-1]) for x in warc.salvage(data) if isinstance(x[0], dict)]
+    gaps = lambda data: [x for x in warc.salvage(data) if isinstance(x[0], int)]
+    whole = warc.member(b"".join(plain), level)
+    assert ids(whole) == list(range(40)) and gaps(whole) == []
+    for at in (3, 17):  # a bad record, gzipped as it is: the others stay
+        odd = warc.member(b"".join([*plain[:at], plain[at][:-50] + b"#" + plain[at][-49:], *plain[at + 1 :]]), level)
+        assert ids(odd + whole) == [*(i for i in range(40) if i != at), *range(40)] and gaps(odd + whole) == [(0, len(odd))]
+    cut = whole[: len(whole) // 2]
+    assert ids(cut) in (list(range(n)) for n in (18, 19, 20)) and gaps(cut) == [(0, len(cut))]
+    broken = bytearray(whole)
+    broken[len(whole) // 2] ^= 0xFF  # flipped bits: all before the damage stay, and no record is told twice
+    got = ids(bytes(broken) + warc.member(plain[0]))
+    assert got[:18] == list(range(18)) and got[-1] == 0 and len(set(got[:-1])) == len(got) - 1
+    assert gaps(bytes(broken) + warc.member(plain[0])) == [(0, len(broken))]
+
+
 def covered(sequences, window):
     seen = collections.Counter(tuple(s[i : i + window]) if isinstance(s, list) else s[i : i + window] for s in sequences for i in range(len(s) - window + 1))
     for s in sequences:
