@@ -1,4 +1,4 @@
-"""Incremental ingestion: normalise, quarantine, first-wins keys, watermark."""
+"""Incremental ingestion: normalise, quarantine, first-wins keys, watermark."""
 
 from __future__ import annotations
 

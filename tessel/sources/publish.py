@@ -1,4 +1,4 @@
-"""All-or-nothing publication: versioned folders and one manifest.
+"""All-or-nothing publication: versioned folders and one manifest.
 
 A batch writes new folders, then the manifest is replaced by one rename. A crash before that leaves the old manifest and
 folders without an entry, which `residue` lists. Files go through Spark and Hadoop's file system, so any store will do.
