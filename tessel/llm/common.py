@@ -6,9 +6,11 @@ lineage: a lost executor rereads files instead of recomputing text passes.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +21,56 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is set only where the setting is absent (as in tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The cluster's checkpoint folder; a temporary one is set only where the setting is absent and Spark is local (as in tests)."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is still there is deleted when the driver ends."""
+    if not _WRITTEN:
+        atexit.register(_drop_all)
+    _WRITTEN.append(f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged folders that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+def _drop_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with suppress(Exception):  # the driver is ending
+            drop(spark, list(_WRITTEN))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what was staged inside, but for the paths put into the list that it gives. What is kept mustn't read the rest any more."""
+    before, keep = len(_WRITTEN), []
+    yield keep
+    drop(spark, [p for p in _WRITTEN[before:] if p not in keep])
+
+
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write to the shared folder and read back."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,6 +105,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def small(batches: Iterator[pa.RecordBatch], most_bytes: int = 8_000_000, most_rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a bounded size, a row at least."""
+    for b in batches:
+        n = b.num_rows
+        if b.nbytes <= most_bytes and n <= most_rows:
+            yield b
+            continue
+        at = 0
+        while at < n:
+            size = min(most_rows, n - at)
+            while size > 1 and b.slice(at, size).nbytes > most_bytes:
+                size = (size + 1) // 2
+            yield b.slice(at, size)
+            at += size
+
+
 class Rows:
     """Collects output rows by column and hands out Arrow batches of a bounded size."""
 
@@ -160,8 +213,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until nothing changes. Each step is two shuffles over the edges; a hub's
     minimum is pre-aggregated and joined back, so no task gathers its neighbours. Every state is staged.
     """
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    e = stage(e, "edges")
+    e = stage(e, "edges", path)
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -174,8 +228,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("v", "m").where("v > m").union(low.select("u", "m")).toDF("u", "v").distinct()
-        e = stage(small, "edges")
+        old, path = path, new_path(spark, "edges")
+        e = stage(small, "edges", path)
         was, seen = seen, mark(e)
+        drop(spark, [old])
         if was == seen:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v")).groupBy("node").agg(F.min("component").alias("component"))

@@ -1,10 +1,11 @@
 """Exact repeated byte strings by suffix arrays built in two stages.
 
-Candidate windows (see repeats; the seed is the least gram of each half of the window) are cut into snippets, and
-snippets are dealt by seed, so all places of a repeated string lie in one group. Equal snippets collapse to one with a
-count. A block of groups gets a suffix array: suffixes smaller than their successor (type B) are sorted directly,
+A text is cut into runs of windows with the same seed (the least gram of each half of the window, see repeats), each with a hash
+of its bytes, and runs are grouped by seed, so all places of a repeated string lie in one group. Where all runs of a seed are equal, by
+seed and hash (128 bits), all their windows repeat and no bytes move. The other groups get the bytes of each different run once, as
+a snippet with a count, and a block of groups gets a suffix array: suffixes smaller than their successor (type B) are sorted directly,
 the others (type A) are induced by scanning the buckets of first bytes upwards, then adjacent common prefixes of at
-least the window's length show the repeats.
+least the window's length show the repeats. Groups of over HOT snippets are split by finer seeds first.
 
 Defined cases: a null text is empty; a text shorter than the window keeps all bytes; equal rows (ties) count as other
 places, so both are removed; an empty table gives an empty result; only doc_id and text are read.
@@ -20,45 +21,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rolling, Rows, as_bytes, mix, slices
-from tessel.llm.repeats import NO_RUNS, Runs, candidates, intervals, keyed, least_grams, runs_of
+from tessel.llm.common import Rolling, Rows, as_bytes, mix, slices, stage
+from tessel.llm.repeats import NO_RUNS, Runs, keyed, least_grams, runs_of
 
-SNIPPET = "seed long, a long, b long, body binary, span int, copies long"
-PLACE = "a long, b long, k1 long, k2 long, at long"
-FOUND = "a long, b long, hits array<int>"
+RUNS = "k1 long, k2 long, seeds array<long>, ids array<long>, low array<int>, high array<int>"
+SNIPPET = "seed long, id long, body binary, span int, copies long"
+FOUND = "seed long, id long, first array<int>, last array<int>"
 RESULT = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
-BASE = "doc_id long, k1 long, k2 long, n_bytes long, all_sha256 string"
+#: Seeds of more snippets are split by finer seeds: least grams of eight parts of a window, then whole windows.
+HOT = 2000
+FINER = (8, 0)
 
 
-def seeder(window: int) -> Callable[[bytes], Runs]:
-    half = window // 2
-    gram = max(1, min(32, half // 2))
+def seeder(window: int, parts: int = 2) -> Callable[[bytes], Runs]:
+    """Runs of windows by the least grams of so many parts of a window; with no parts, by the whole window."""
+    size = window // parts if parts else window
+    gram = max(1, min(32, size // 2)) if parts else window
     rolling, table = Rolling(), mix(np.arange(1, 257, dtype=np.uint64))
+    offsets = [i * (window - size) // (parts - 1) for i in range(parts)] if parts else [0]
 
     def seeds(text: bytes) -> Runs:
         if len(text) < window:
             return NO_RUNS
-        m, new = least_grams(rolling.windows(table[np.frombuffer(text, np.uint8)], gram), half - gram + 1)
+        m, changes = least_grams(rolling.windows(table[np.frombuffer(text, np.uint8)], gram), size - gram + 1)
         n = len(text) - window + 1
-        left, right = slice(0, n), slice(window - half, window - half + n)
-        new = new[left] | new[right]
-        new[0] = True
+        seed, new = m[:n], changes[:n].copy()
         with np.errstate(over="ignore"):
-            return runs_of(mix(m[left] * np.uint64(0x9E3779B97F4A7C15) + m[right]), new)
+            for at in offsets[1:]:
+                seed = seed * np.uint64(0x9E3779B97F4A7C15) + m[at : at + n]
+                new |= changes[at : at + n]
+        new[0] = True
+        return runs_of(mix(seed), new)
 
     return seeds
 
 
-def snippets(text: bytes, found: Runs, runs: list[int], window: int) -> Iterator[tuple[int, int, int, bytes, int, int]]:
-    """(seed, 128-bit id of two longs, bytes, number of window starts, place) of each repeated run."""
-    import xxhash
+def cut_runs(texts: DataFrame, window: int, parts: int) -> DataFrame:
+    """Staged RUNS of texts(k1, k2, text, copies): a row for a text, two for one with copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seeds, rows, seen = seeder(window, parts), Rows(RUNS), {}
+        for b in slices(batches):
+            for k1, k2, text, copies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist()):
+                if (n := seen.get((k1, k2), 0)) >= 2 or len(text) < window:  # two rows of a text already show that all of it is repeated
+                    continue
+                seen[k1, k2] = n + copies
+                seed, first, last = seeds(text)
+                ids = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(first.tolist(), (last + (window - 1)).tolist())), np.uint64, len(seed))
+                for _ in range(min(2 - n, copies)):
+                    if rows.add(k1, k2, seed.view(np.int64), ids.view(np.int64), first.astype(np.int32), last.astype(np.int32), weight=24 * len(seed)):
+                        yield from rows.take()
+        yield from rows.take()
+
+    return stage(texts.select("k1", "k2", "text", "copies").mapInArrow(run, RUNS), "runs")
 
-    seed, first, last = found
-    for r in runs:
-        s, e = int(first[r]), int(last[r])
-        body = text[s : e - 1 + window]
-        x = xxhash.xxh3_128_digest(body)
-        yield int(seed[r : r + 1].view(np.int64)[0]), int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True), body, e - s, s
+
+def repeated_runs(runs: DataFrame) -> DataFrame:
+    """Staged (seed, k1, k2, id, low, high, single) of runs whose seed is found again; single: all runs of the seed are equal."""
+    groups = runs.select(F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("ids").alias("id")))).groupBy("seed").agg(F.count("*").alias("n"), (F.min("id") == F.max("id")).alias("single"))
+    # staged, so that the join has a shuffle on either side and skewed seeds can be split
+    groups = stage(groups.where("n > 1").drop("n"), "groups")
+    every = runs.select("k1", "k2", F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("ids").alias("id"), "low", "high")))
+    return stage(every.join(groups, "seed"), "repeated")
 
 
 def sort_directly(text: np.ndarray, positions: np.ndarray, depth: int) -> np.ndarray:
@@ -165,86 +191,104 @@ def repeated(bodies: list[bytes], spans: list[int], copies: list[int], window: i
 
 
 def settle(window: int, block: int = 60_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by (seed, id). Groups gather to a block of so many window starts; groups of one snippet need no sorting."""
+    """Snippets come sorted by seed. Groups gather to a block of so many window starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, group, held, now, size = Rows(FOUND), {}, [], None, 0
+        rows, held, now, size = Rows(FOUND), [], None, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
             if held:
-                ids, bodies, spans, copies = zip(*((k, *v) for k, v in held))
-                for (a, b), hits in zip(ids, repeated(list(bodies), list(spans), list(copies), window)):
-                    if len(hits) and rows.add(a, b, hits.astype(np.int32), weight=4 * len(hits)):
+                seeds, ids, bodies, spans, copies = zip(*held)
+                for x, y, hits in zip(seeds, ids, repeated(list(bodies), list(spans), list(copies), window)):
+                    if len(hits) and rows.add(x, y, *stretches(hits)):
                         yield from rows.take()
             held, size = [], 0
 
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal group, size
-            if len(group) == 1:
-                (((a, b), (_, span, n)),) = group.items()
-                if n > 1 and rows.add(a, b, np.arange(span, dtype=np.int32), weight=4 * span):
-                    yield from rows.take()
-            elif group:
-                held.extend(group.items())
-                size += sum(v[1] for v in group.values())
-                if size >= block:
-                    yield from flush()
-            group = {}
-
         for batch in slices(batches):
-            for seed, a, b, body, span, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if seed != now:
-                    yield from close()
-                    now = seed
-                was = group.get((a, b))
-                group[a, b] = (body, span, n + (was[2] if was else 0))
-        yield from close()
+            for snippet in zip(*(c.to_pylist() for c in batch.columns)):
+                if snippet[0] != now and size >= block:
+                    yield from flush()
+                now, size = snippet[0], size + snippet[3]
+                held.append(snippet)
         yield from flush()
         yield from rows.take()
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row; spans are removed byte intervals, flat."""
-    d = keyed(docs)
-    work = candidates(d.select("k1", "k2", "text"), lambda: seeder(window)).select("k1", "k2", "text", "copies", "runs")
+def stretches(hits: np.ndarray) -> tuple[list[int], list[int]]:
+    """[from, to) of the stretches of consecutive numbers in sorted ones."""
+    gap = np.nonzero(np.diff(hits) != 1)[0]
+    return [int(hits[0]), *hits[gap + 1].tolist()], [*(hits[gap] + 1).tolist(), int(hits[-1]) + 1]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, rows, seen = seeder(window), Rows(SNIPPET), {}
+
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """The numbers of each list of a column, as arrays."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[s:e] for s, e in zip(at, at[1:])]
+
+
+def merged(places: DataFrame) -> DataFrame:
+    """FOUND of (k1, k2, low, high), with overlapping and touching intervals merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(FOUND)
         for b in slices(batches):
-            for text, n, runs in zip(as_bytes(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                for seed, x, y, body, span, _ in snippets(text, seeds(text), runs, window):
-                    seen[seed, x, y] = (body, span, n + (seen[seed, x, y][2] if (seed, x, y) in seen else 0))
-                if len(seen) >= 20_000:
-                    for (seed, x, y), v in seen.items():
-                        if rows.add(seed, x, y, *v, weight=len(v[0])):
-                            yield from rows.take()
-                    seen = {}
-        for (seed, x, y), v in seen.items():
-            if rows.add(seed, x, y, *v, weight=len(v[0])):
-                yield from rows.take()
+            for seed, x, low, high in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lists(b.column(2)), lists(b.column(3))):
+                if rows.add(seed, x, *union(low, high)):
+                    yield from rows.take()
         yield from rows.take()
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, rows = seeder(window), Rows(PLACE)
+    lists_ = places.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("p"))
+    return lists_.select("k1", "k2", "p.low", "p.high").mapInArrow(run, FOUND)
+
+
+def repeats(runs: DataFrame, texts: DataFrame, window: int, finer: tuple[int, ...] = FINER) -> DataFrame:
+    """(k1, k2, low, high): the windows low to high - 1 of these texts(k1, k2, text) are found elsewhere; runs is of repeated_runs."""
+    several = runs.where("not single")
+    # one place of each snippet gives its bytes
+    once = several.groupBy("seed", "id").agg(F.min(F.struct("k1", "k2", "low", "high")).alias("place"), F.count("*").alias("copies"))
+    once = once.groupBy("place.k1", "place.k2").agg(F.collect_list(F.struct("seed", "id", "place.low", "place.high", "copies")).alias("p"))
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(SNIPPET)
         for b in slices(batches):
-            for k1, k2, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(4).to_pylist()):
-                for _, x, y, _, _, at in snippets(text, seeds(text), runs, window):
-                    if rows.add(x, y, k1, k2, at):
+            for text, *own in zip(as_bytes(b.column(0)), *(c.to_pylist() for c in b.columns[1:])):
+                for seed, x, low, high, n in zip(*own):
+                    body = text[low : high + window - 1]
+                    if rows.add(seed, x, body, high - low, n, weight=len(body)):
                         yield from rows.take()
         yield from rows.take()
 
-    dealt = work.mapInArrow(cut, SNIPPET).repartition("seed").sortWithinPartitions("seed", "a", "b")
-    found = dealt.mapInArrow(settle(window), FOUND)
-    places = work.mapInArrow(place, PLACE).join(found, ["a", "b"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "hits")).alias("hits"))
+    snippets = texts.select("k1", "k2", "text").join(once, ["k1", "k2"]).select("text", "p.seed", "p.id", "p.low", "p.high", "p.copies").mapInArrow(bodies, SNIPPET)
+    snippets = stage(snippets, "snippets")
+    counts = snippets.groupBy("seed").count().where(F.col("count") > HOT)
+    more = None
+    if finer and not counts.isEmpty():
+        hot = snippets.join(counts, "seed", "left_semi").select(F.col("seed").alias("k1"), F.col("id").alias("k2"), F.col("body").alias("text"), "copies")
+        more = merged(repeats(repeated_runs(cut_runs(hot, window, finer[0])), hot, window, finer[1:]))
+        snippets = snippets.join(counts, "seed", "left_anti")
+    found = snippets.select(*(x.split()[0] for x in SNIPPET.split(", "))).repartition("seed").sortWithinPartitions("seed").mapInArrow(settle(window), FOUND)
+    found = stage(found if more is None else found.unionByName(more), "found")
+    again = several.join(found, ["seed", "id"]).select("k1", "k2", "low", F.inline(F.arrays_zip("first", "last"))).select("k1", "k2", (F.col("low") + F.col("first")).alias("low"), (F.col("low") + F.col("last")).alias("high"))
+    return runs.where("single").select("k1", "k2", "low", "high").unionByName(again)
+
+
+def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row; spans are removed byte intervals, flat."""
+    d = keyed(docs)
+    runs = repeated_runs(cut_runs(d.select("k1", "k2", "text", F.lit(1).alias("copies")), window, 2))
+    # copies of a text meet as partial results of map tasks, never as rows in one task
+    texts = d.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(runs.select("k1", "k2").distinct(), ["k1", "k2"])
+    texts = stage(texts, "texts")
+    places = repeats(runs, texts, window).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("p"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(RESULT)
         for b in slices(batches):
-            for k1, k2, text, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist()):
-                begin, end = intervals(np.unique(np.concatenate([np.array(h["hits"], np.int64) + h["at"] for h in hits])), window)
+            for k1, k2, text, low, high in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), lists(b.column(3)), lists(b.column(4))):
+                begin, end = union(low.astype(np.int64), high.astype(np.int64) + (window - 1))
                 keep, kept = 0, []
                 for a, e in zip(begin.tolist(), end.tolist()):
                     kept.append(text[keep:a])
@@ -254,7 +298,14 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
                     yield from rows.take()
         yield from rows.take()
 
-    changed = work.select("k1", "k2", "text").join(places, ["k1", "k2"]).select("k1", "k2", "text", "hits").mapInArrow(render, RESULT)
+    changed = texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", "p.low", "p.high").mapInArrow(render, RESULT)
     zero = F.lit(0).cast("long")
     base = d.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("all_sha256"))
     return base.join(changed, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
+
+
+def union(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal [from, to) of intervals sorted by their beginnings; touching ones merge."""
+    reach = np.maximum.accumulate(high)
+    gap = np.nonzero(low[1:] > reach[:-1])[0]
+    return np.concatenate((low[:1], low[gap + 1])), np.concatenate((reach[gap], reach[-1:]))
