@@ -7,8 +7,8 @@ fixed size and are broadcast; word counts grow with the corpus and stay distribu
 are at most HEAVY by arithmetic (each has over 1/HEAVY of all tokens), are looked up in a broadcast table; the
 counts of all other words are joined by word.
 
-Baum-Welch goes over the training texts once, in folds: a pass adds up a fold's expected counts by class inside
-partitions and then across them, joins them to the fading counts of earlier folds, and re-estimates.
+Every Baum-Welch pass goes over all training texts: expected counts add up by class inside partitions and then across
+them, and the model is re-estimated. How the input is dealt changes a sum's rounding only.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is in training; repeated rows are scored and counted
 each; an empty table gives an empty result; without training rows counts are zero; only doc_id and text are read.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rows, as_bytes, stage
+from tessel.llm.common import Rows, as_bytes, small, stage
 
 HEAVY = 200_000
 END = ""  # no word is empty
@@ -130,32 +130,30 @@ def maximise(starts: np.ndarray, moves: np.ndarray, by_class: np.ndarray, share:
     return Model((starts + 1) / (starts + 1).sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def coded(training: DataFrame, classes: int, folds: int) -> DataFrame:
-    """Staged (fold, classes) of training(text), the end token's class last, so that passes needn't cut texts into words again."""
-    ddl = "fold int, classes binary"
+def coded(training: DataFrame, classes: int) -> DataFrame:
+    """Staged (codes) of training(text): class ids, the end token's class last, so that passes needn't cut texts into words again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, n = Rows(ddl), 0
-        for b in batches:
+        rows = Rows("codes binary")
+        for b in small(batches):
             for t in as_bytes(b.column(0)):
                 ids = np.append(class_ids(t.lower().split(), classes), classes).astype("<u2").tobytes()
-                if rows.add(n % folds, ids, weight=len(ids)):
+                if rows.add(ids, weight=len(ids)):
                     yield from rows.take()
-                n += 1
         yield from rows.take()
 
-    return stage(training.mapInArrow(run, ddl), "classes")
+    return stage(training.mapInArrow(run, "codes binary"), "classes")
 
 
 def baum_welch(training: DataFrame, model: Model, classes: int) -> np.ndarray:
-    """Expected counts over training(classes): rows are the classes, then moves, starts and the log likelihood. Spark sums; what returns has a fixed size."""
+    """Expected counts over training(codes): rows are the classes, then moves, starts and the log likelihood. Spark sums; what returns has a fixed size."""
     k, spark = len(model.start), training.sparkSession
     ddl = "row int, " + ", ".join(f"s{i} double" for i in range(k))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((classes + 1 + k + 2, k))
-        for b in batches:
+        for b in small(batches):
             for _, seqs in sequences([np.frombuffer(x, "<u2").astype(np.int64) for x in b.column(0).to_pylist()]):
                 s, m, e, log = expected(sent.value, *by_time(seqs))
                 total += np.concatenate((e, m, s[None], np.full((1, k), log / k)))
@@ -164,17 +162,16 @@ def baum_welch(training: DataFrame, model: Model, classes: int) -> np.ndarray:
             yield pa.record_batch([pa.array(own.astype(np.int32)), *(pa.array(total[own, i]) for i in range(k))], names=["row", *(f"s{i}" for i in range(k))])
 
     total = np.zeros((classes + 1 + k + 2, k))
-    for r in training.select("classes").mapInArrow(run, ddl).groupBy("row").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k))).collect():
+    for r in training.select("codes").mapInArrow(run, ddl).groupBy("row").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k))).collect():
         total[r[0]] = r[1:]
     return total
 
 
-def train(codes: DataFrame, share: np.ndarray, states: int, passes: int, fade: float = 0.5) -> Model:
-    """One epoch of coded(...) in as many folds as passes."""
-    classes, model, total = len(share) - 1, first_model(share, states), 0.0
-    for i in range(passes):
-        fold = codes.where(F.col("fold") == i)
-        total = fade * total + baum_welch(fold, model, classes)
+def train(codes: DataFrame, share: np.ndarray, states: int, passes: int) -> Model:
+    """So many passes over all of coded(...)."""
+    classes, model = len(share) - 1, first_model(share, states)
+    for _ in range(passes):
+        total = baum_welch(codes, model, classes)
         model = maximise(total[-2], total[classes + 1 : -2], total[: classes + 1], share)
     return model
 
@@ -183,21 +180,23 @@ def count_words(training: DataFrame) -> DataFrame:
     """Staged (word, c) over training(text); the end token is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows("word binary, c long", 100_000)
         counts: Counter = Counter()
-        for b in batches:
+
+        def take() -> Iterator[pa.RecordBatch]:
+            every = list(counts)
+            for at in range(0, len(every), 50_000):
+                own = every[at : at + 50_000]
+                yield pa.record_batch([pa.array(own, pa.binary()), pa.array([counts[w] for w in own], pa.int64())], names=["word", "c"])
+
+        for b in small(batches):
             for t in as_bytes(b.column(0)):
                 counts.update(t.lower().split())
-                counts[b""] += 1
-                if len(counts) > 400_000:
-                    for w, c in counts.items():
-                        if rows.add(w, c):
-                            yield from rows.take()
-                    counts = Counter()
-        for w, c in counts.items():
-            if rows.add(w, c):
-                yield from rows.take()
-        yield from rows.take()
+            if b.num_rows:
+                counts[b""] += b.num_rows
+            if len(counts) > 400_000:
+                yield from take()
+                counts = Counter()
+        yield from take()
 
     return stage(training.mapInArrow(run, "word binary, c long").groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("c").alias("c")), "counts")
 
@@ -217,7 +216,7 @@ def score(docs: DataFrame, states: int = 8, classes: int = 4096, passes: int = 4
     for c, n, v in counts.groupBy(cls.alias("cls")).agg(F.sum("c"), F.count("*")).collect():  # as many rows as classes
         tokens[c], words[c] = n, v
     n_all, v_all = int(tokens.sum()), int(words.sum())
-    model = train(coded(training, classes, passes), (tokens + 1) / (tokens + 1).sum(), states, passes)
+    model = train(coded(training, classes), (tokens + 1) / (tokens + 1).sum(), states, passes)
     inside = np.log10(tokens + words + 1)
     inside[classes] = 0.0  # the end class has one word
     common = counts.where((F.col("c") * HEAVY > n_all) & (F.col("word") != END))  # at most HEAVY words
@@ -229,25 +228,23 @@ def score(docs: DataFrame, states: int = 8, classes: int = 4096, passes: int = 4
 
         model, inside, heavy = tables.value
         uid = TaskContext.get().partitionId() << 33
-        for big in batches:
-            for at in range(0, big.num_rows, 4000):
-                b = big.slice(at, 4000)
-                cut = [t.lower().split() for t in as_bytes(b.column(1))]
-                ids = [np.append(class_ids(w, classes), classes) for w in cut]
-                log = np.zeros(len(ids))
-                for own, seqs in sequences(ids):
-                    log[own] = forward(model, *by_time(seqs))[0] / np.log(10)
-                known, known_log, rare, times = [], [], [], []
-                for w in cut:
-                    c = Counter(w)
-                    own = [(n, heavy[x]) for x, n in c.items() if x in heavy]
-                    known.append(sum(n for n, _ in own))
-                    known_log.append(sum(n * x for n, x in own))
-                    rare.append([x for x in c if x not in heavy])
-                    times.append([c[x] for x in rare[-1]])
-                columns = [np.arange(uid, uid + len(cut)), b.column(0), b.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array(known, pa.int64()), pa.array(known_log, pa.float64()), pa.array([float(inside[x].sum()) for x in ids], pa.float64()), log, pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
-                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in SCORED.split(", ")])
-                uid += len(cut)
+        for b in small(batches):
+            cut = [t.lower().split() for t in as_bytes(b.column(1))]
+            ids = [np.append(class_ids(w, classes), classes) for w in cut]
+            log = np.zeros(len(ids))
+            for own, seqs in sequences(ids):
+                log[own] = forward(model, *by_time(seqs))[0] / np.log(10)
+            known, known_log, rare, times = [], [], [], []
+            for w in cut:
+                c = Counter(w)
+                own = [(n, heavy[x]) for x, n in c.items() if x in heavy]
+                known.append(sum(n for n, _ in own))
+                known_log.append(sum(n * x for n, x in own))
+                rare.append([x for x in c if x not in heavy])
+                times.append([c[x] for x in rare[-1]])
+            columns = [np.arange(uid, uid + len(cut)), b.column(0), b.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array(known, pa.int64()), pa.array(known_log, pa.float64()), pa.array([float(inside[x].sum()) for x in ids], pa.float64()), log, pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+            yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in SCORED.split(", ")])
+            uid += len(cut)
 
     scored = stage(d.select("doc_id", "text", "held_out").mapInArrow(run, SCORED), "scored")
     pairs = scored.select("uid", F.explode(F.arrays_zip("words", "times")).alias("r")).select("uid", F.col("r.words").cast("string").alias("word"), F.col("r.times").alias("n"))
