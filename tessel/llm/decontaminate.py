@@ -6,15 +6,18 @@ between item and document) are judged together; enough of them are a leak if the
 item always stands for one value in the document, and the reverse. Of a diagonal whose
 slots conflict, the largest consistent part is taken. Equal slots make an `exact` leak, others a `reparameterised` one.
 
-A capitalised word that opens a sentence or a line may be a name or not, so windows over such words are hashed up to three
-times: as words; as names where the same word is a name elsewhere in the text; all as names. The last two need
-LITERAL literal words in the window, so that lists of capitalised lines don't match each other.
-
-The benchmark is a stated query set: its windows are matched in blocks of at most `block` windows against all rows, so
-what is sent to executors has a fixed bound. Matching is a pass over the text; nothing is shuffled.
-
-Defined cases: null or empty texts match nothing; an item with no word is left out; repeated items are reported by each
-item_id, repeated documents by row; empty tables give an empty result; only the id and text columns are read.
+A window with fewer than LITERAL literal words is hashed by its words and values as they are, so that tables of other
+numbers or lists of other names don't match. A capitalised word that opens a sentence or a line may be a name or not, so windows
+over such words are hashed up to three times: as words; as names where the same word is a name elsewhere in the text; all as names.
+
+One pass over the texts hashes their windows and lets through those that a filter of fixed size (a Bloom filter of the
+benchmark's windows) doesn't rule out; these are joined to the benchmark's windows by hash, and pairs of a text and an item with enough hits
+on a diagonal are verified on their words. Windows that very many items share are left out of the join as far as an item can
+miss them and still be found. Texts are told apart by 128-bit keys, so copies of a text are judged once.
+
+Defined cases: null or empty texts match nothing; an item with no word is left out; equal items are one, named by its least
+item_id; documents are judged by their text, so every row of a leaking text is reported, with a null or a repeated doc_id or not;
+empty tables give an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -26,12 +29,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rolling, Rows, as_bytes
+from tessel.llm.common import Rolling, Rows, as_bytes, mix, small, stage, text_key
 
-HITS = "doc_id long, item_id long, kind string, start_word long, end_word long, matched_windows long, item_windows long"
+HITS = "k1 long, k2 long, item_id long, kind string, start_word long, end_word long, matched_windows long, item_windows long"
+WINDOWS = "hash long, item_id long, at int, need int, size int"
+PASSED = "k1 long, k2 long, hash long, at int"
+#: Size of the filter: 4 MB.
+FILTER_BITS = 1 << 25
+#: A window in more items is popular.
+POPULAR = 50
 #: Units that may follow a number.
 UNITS = frozenset(b"% kg g mg lb lbs oz km m cm mm mi ft miles meters metres litres liters l ml hours hour hrs minutes minute min seconds second sec days day weeks week months month years year dollars dollar euros euro cents usd eur kmh mph".split())
 WORD, NUMBER, NAME, UNIT = range(4)
@@ -119,59 +128,56 @@ def tokenise(text: bytes, lexicon: Lexicon) -> Tokens:
     return Tokens(template, literal, kind != WORD, word_no, first_name, others)
 
 
+def windows_of(t: Tokens, w: int, window: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the windows of w tokens, in all their readings; only windows of the full length have further readings."""
+    h = rolling.windows(t.template, w)
+    if not len(h):
+        return np.empty(0, np.int64), h
+    literal = rolling.windows(t.literal, w)
+    few = counted(~t.slot, w) < LITERAL
+    h = np.where(few, mix(literal ^ SLOTS[1]), h)
+    at = [np.arange(len(h))]
+    out = [h]
+    for template in t.others if w == window else []:
+        other = rolling.windows(template, w)
+        own = np.nonzero((other != out[0]) & (counted(template == t.literal, w) >= LITERAL))[0]
+        at.append(own)
+        out.append(other[own])
+    return np.concatenate(at), mix(np.concatenate(out) + np.uint64(w))
+
+
+def counted(marks: np.ndarray, w: int) -> np.ndarray:
+    """How many of every w consecutive marks are set."""
+    sums = np.concatenate(([0], np.cumsum(marks)))
+    return sums[w:] - sums[:-w]
+
+
 @dataclass
-class Block:
-    """Sorted window hashes of some items, where each comes from, and the items' tokens."""
+class Item:
+    """An item's tokens and windows. One shorter than a window is one window."""
 
-    hashes: np.ndarray
-    item: np.ndarray  # index into tokens
+    tokens: Tokens
+    size: int
+    windows: int
     at: np.ndarray
-    ids: list[int]
-    tokens: list[Tokens]
-    windows: list[int]
-    sizes: list[int]  # window length of each item; items shorter than a window are one window
-
-
-def build(items: list[tuple[int, bytes]], window: int, block: int) -> Iterator[Block]:
-    rolling, lexicon = Rolling(), Lexicon()
-    hashes, item, at, ids, tokens, counts, sizes, held = [], [], [], [], [], [], [], 0
-
-    def done() -> Block:
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        return Block(h[order], np.concatenate(item)[order], np.concatenate(at)[order], ids, tokens, counts, sizes)
-
-    for key, text in items:
-        t = tokenise(text, lexicon)
-        if not len(t.template):
-            continue
-        w = min(window, len(t.template))
-        h = rolling.windows(t.template, w)
-        variants, places = [h], [np.arange(len(h))]
-        if t.first_name:  # what starts an item may be a name inside a text
-            other = t.template[:w].copy()
-            other[0] = SLOTS[NAME]
-            variants.append(rolling.windows(other, w))
-            places.append(np.zeros(1, np.int64))
-        for template in t.others if w == window else []:
-            other = rolling.windows(template, w)
-            words = np.concatenate(([0], np.cumsum(template == t.literal)))
-            own = np.nonzero((other != h) & (words[w:] - words[:-w] >= LITERAL))[0]
-            variants.append(other[own])
-            places.append(own)
-        hashes += variants
-        at += places
-        item.append(np.full(sum(map(len, variants)), len(ids), np.int64))
-        ids.append(key)
-        tokens.append(t)
-        counts.append(len(h))
-        sizes.append(w)
-        held += len(h)
-        if held >= block:
-            yield done()
-            hashes, item, at, ids, tokens, counts, sizes, held = [], [], [], [], [], [], [], 0
-    if ids:
-        yield done()
+    hashes: np.ndarray
+
+    def need(self, least: int) -> int:
+        """How many windows make a leak; what starts an item may differ."""
+        return min(least, max(1, self.windows - 1))
+
+
+def item_of(text: bytes, window: int, lexicon: Lexicon, rolling: Rolling) -> Item | None:
+    t = tokenise(text, lexicon)
+    if not len(t.template):
+        return None
+    w = min(window, len(t.template))
+    at, h = windows_of(t, w, window, rolling)
+    if t.first_name and (~t.slot[1:w]).sum() >= LITERAL:  # what starts an item may be a name inside a text
+        first = t.template[:w].copy()
+        first[0] = SLOTS[NAME]
+        at, h = np.append(at, 0), np.append(h, mix(rolling.windows(first, w) + np.uint64(w)))
+    return Item(t, w, len(t.template) - w + 1, at, h)
 
 
 def consistent(a: np.ndarray, b: np.ndarray) -> bool:
@@ -232,60 +238,144 @@ def consistent_part(places: np.ndarray, at: np.ndarray, a: list[int], b: list[in
     return max([*found, places[slice(*best)]], key=len)
 
 
-def leaks(doc: Tokens, b: Block, rolling: Rolling, least: int, window: int) -> Iterator[tuple]:
-    """(item_id, kind, first word, one past the last, windows matched, windows of the item), the best diagonal of each item."""
-    found: dict[tuple[int, int], list[int]] = {}
-    for w in sorted(set(b.sizes)):
-        h = rolling.windows(doc.template, w)
-        if not len(h):
-            continue
-        at = np.arange(len(h))
-        if w == window and doc.others:
-            more = [(own := np.nonzero((x := rolling.windows(template, w)) != h)[0], x[own]) for template in doc.others]
-            at, h = np.concatenate([at, *(x for x, _ in more)]), np.concatenate([h, *(x for _, x in more)])
-        lo = np.searchsorted(b.hashes, h)
-        for k in np.nonzero(b.hashes[np.minimum(lo, len(b.hashes) - 1)] == h)[0].tolist():
-            i, p = int(lo[k]), int(at[k])
-            while i < len(b.hashes) and b.hashes[i] == h[k]:
-                n = int(b.item[i])
-                if b.sizes[n] == w:
-                    found.setdefault((n, p - int(b.at[i])), []).append(p)
-                i += 1
-    best: dict[int, tuple] = {}
-    for (n, shift), places in found.items():
-        need = min(least, max(1, b.windows[n] - 1))  # what starts an item may differ
-        if len(places) < need:
-            continue
-        own = judge(doc, b.tokens[n], shift, np.unique(places), b.sizes[n], need)
-        if own and (n not in best or best[n][0] < own[0]):
-            best[n] = own
-    for n, (size, kind, s, e) in best.items():
-        yield b.ids[n], kind, s, e, size, b.windows[n]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6, block: int = 500_000) -> DataFrame:
-    """One row per row of docs and leaked item. A leak needs `least` windows on one diagonal, or all but one of an item's if it has no more."""
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    out = spark.createDataFrame([], HITS)
-    items = ((r[0], (r[1] or "").encode()) for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator())
-    for b in build(items, window, block):
-        sent = spark.sparkContext.broadcast(b)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            rolling, lexicon, rows = Rolling(), Lexicon(), Rows(HITS)
-            for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                    for hit in leaks(tokenise(text, lexicon), sent.value, rolling, least, window):
-                        if rows.add(doc, *hit):
+def leak(doc: Tokens, found: tuple[np.ndarray, np.ndarray], item: Item, least: int) -> tuple | None:
+    """(kind, first word, one past the last, windows matched, windows of the item) of the item's best diagonal; found are the document's windows of the item's size."""
+    at, h = found
+    order = np.argsort(item.hashes, kind="stable")
+    known, places = item.hashes[order], item.at[order]
+    lo, hi = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+    n = hi - lo
+    hit = np.nonzero(n)[0]
+    if not len(hit):
+        return None
+    # every pair of equal windows, by diagonal
+    p = np.repeat(at[hit], n[hit])
+    q = places[np.repeat(lo[hit], n[hit]) + np.arange(n.sum()) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])]
+    diagonals = np.unique(np.stack([p - q, p], 1), axis=0)
+    best, need = None, item.need(least)
+    for part in np.split(diagonals, np.nonzero(np.diff(diagonals[:, 0]))[0] + 1):
+        if len(part) >= need and (best is None or len(part) > best[0]):
+            own = judge(doc, item.tokens, int(part[0, 0]), part[:, 1], item.size, need)
+            if own and (best is None or own[0] > best[0]):
+                best = own
+    return best and (best[1], best[2], best[3], best[0], item.windows)
+
+
+def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash in the filter."""
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(39)).astype(np.int64) % FILTER_BITS
+
+
+def bench_windows(items: DataFrame, window: int, least: int) -> DataFrame:
+    """Staged windows of items(item_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, lexicon, rows = Rolling(), Lexicon(), Rows(WINDOWS)
+        for b in small(batches):
+            for key, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+                if (item := item_of(text, window, lexicon, rolling)) is not None:
+                    for h, at in zip(item.hashes.view(np.int64).tolist(), item.at.tolist()):
+                        if rows.add(h, key, at, item.need(least), item.size):
                             yield from rows.take()
-            yield from rows.take()
-
-        out = out.unionByName(source.mapInArrow(run, HITS))
-    return out
+        yield from rows.take()
+
+    return stage(items.mapInArrow(run, WINDOWS), "windows")
+
+
+def window_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The filter as an array of words, and the sizes of windows. Words are put together by Spark; their number is fixed, as is that of sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.concatenate(probes(b.column(0).to_numpy().view(np.uint64)))
+            yield pa.record_batch([pa.array((bits >> 6).astype(np.int32)), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    words = np.zeros(FILTER_BITS >> 6, np.uint64)
+    found = windows.select("hash").mapInArrow(run, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words, sorted(r[0] for r in windows.select("size").distinct().collect())
+
+
+def pairs(texts: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+    """Staged (k1, k2, item_id) with enough equal windows on one diagonal; texts has (k1, k2, text)."""
+    sent = texts.sparkSession.sparkContext.broadcast(window_filter(windows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, lexicon, rows, seen = Rolling(), Lexicon(), Rows(PASSED), set()
+        bits, sizes = sent.value
+        for b in small(batches):
+            for k1, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
+                if (k1, k2) in seen:  # copies in one task are read once
+                    continue
+                if len(seen) < 500_000:
+                    seen.add((k1, k2))
+                t = tokenise(text, lexicon)
+                for w in sizes:
+                    at, h = windows_of(t, w, window, rolling)
+                    x, y = probes(h)
+                    hit = np.nonzero((bits[x >> 6] >> (x & 63).astype(np.uint64)) & (bits[y >> 6] >> (y & 63).astype(np.uint64)) & np.uint64(1))[0]
+                    for p, v in zip(at[hit].tolist(), h[hit].view(np.int64).tolist()):
+                        if rows.add(k1, k2, v, p):
+                            yield from rows.take()
+        yield from rows.take()
+
+    passed = stage(texts.mapInArrow(run, PASSED), "passed")
+    # an item may miss need - 1 windows: its most popular ones are left out
+    items_of = windows.groupBy("hash").agg(F.count_distinct("item_id").alias("items"))
+    spread = windows.join(items_of, "hash")
+    places = spread.groupBy("item_id", "at", "need").agg(F.max("items").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("items"), "at"))
+    dropped = (F.col("items") > POPULAR) & (rank < F.col("need"))
+    places = places.withColumn("out", dropped)
+    left = F.col("need") - F.sum(F.col("out").cast("int")).over(Window.partitionBy("item_id"))
+    places = places.withColumn("left", left).where("not out").select("item_id", F.col("at").alias("item_at"), "left")
+    known = stage(windows.select("hash", "item_id", F.col("at").alias("item_at")).join(places, ["item_id", "item_at"]).distinct(), "known")
+    hits = passed.join(known, "hash").select("k1", "k2", "item_id", "left", (F.col("at") - F.col("item_at")).alias("shift"), "at")
+    # repeated rows of a text say the same
+    enough = hits.groupBy("k1", "k2", "item_id", "left", "shift").agg(F.size(F.collect_set("at")).alias("n")).where("n >= left")
+    return stage(enough.select("k1", "k2", "item_id").distinct(), "pairs")
+
+
+def leaking_texts(texts: DataFrame, benchmark: DataFrame, window: int, least: int) -> DataFrame:
+    """Staged rows of HITS: one per text of texts(k1, k2, text) and leaked item."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("text != ''")
+    items = stage(items.groupBy(*text_key(F.col("text"))).agg(F.min("item_id").alias("name"), F.first("text").alias("text")).select(F.monotonically_increasing_id().alias("item_id"), "name", "text"), "items")
+    found = pairs(texts, bench_windows(items.select("item_id", "text"), window, least), window)
+    asked = found.join(items.withColumnRenamed("text", "item"), "item_id").groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "name", "item")).alias("i"))
+    held = texts.join(found.select("k1", "k2").distinct(), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    both = held.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "i.item_id", "i.name", "i.item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, lexicon, rows, known = Rolling(), Lexicon(), Rows(HITS), {}
+        for b in small(batches, most_rows=200):
+            for k1, k2, text, keys, names, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), *(c.to_pylist() for c in b.columns[3:])):
+                doc, found = tokenise(text, lexicon), {}
+                for key, name, item in zip(keys, names, items):
+                    if key not in known:
+                        if len(known) > 20_000:
+                            known.clear()
+                        known[key] = item_of(item.encode(), window, lexicon, rolling)
+                    own = known[key]
+                    if own.size not in found:
+                        found[own.size] = windows_of(doc, own.size, window, rolling)
+                    hit = leak(doc, found[own.size], own, least)
+                    if hit and rows.add(k1, k2, name, *hit):
+                        yield from rows.take()
+        yield from rows.take()
+
+    return stage(both.mapInArrow(run, HITS), "leaks")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6) -> DataFrame:
+    """One row per row of docs and leaked item. A leak needs `least` windows on one diagonal, or all but one of an item's if it has no more."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", *text_key(F.col("text")), "text")
+    found = leaking_texts(d.select("k1", "k2", "text"), benchmark, window, least)
+    return d.select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).drop("k1", "k2")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """The documents without a leak, in the columns of docs. A null doc_id is never matched, and kept."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6) -> DataFrame:
+    """The rows whose texts have no leak, in the columns of docs."""
+    key = [c.alias(n) for c, n in zip(text_key(F.coalesce("text", F.lit(""))), ("__leak_1", "__leak_2"))]
+    texts = docs.select(*text_key(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).alias("text"))
+    bad = leaking_texts(texts, benchmark, window, least).select(F.col("k1").alias("__leak_1"), F.col("k2").alias("__leak_2")).distinct()
+    return docs.select("*", *key).join(bad, ["__leak_1", "__leak_2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
