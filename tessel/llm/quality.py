@@ -5,8 +5,8 @@ half of its text is rejected. Document measures (words, symbols, repeated lines
 the whole input text, inside its row: nothing is shuffled.
 
 Defined cases: a null text is empty, has no words and fails; blank lines are kept and count for nothing; repeated rows
-are judged alike; an empty table gives an empty result; only doc_id and text are read by `judge`, and `clean` keeps all columns
-(its own are prefixed with q_).
+are judged alike; an empty table gives an empty result; only doc_id and text are read by `judge`, and `clean` keeps
+all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +19,18 @@ from pyspark.sql import functions as F
 from tessel.llm.common import BLANKS
 
 SYMBOLS = "#*$%&|<>"
-#: What separates entries of menus; phrases of boilerplate lines.
+#: What separates entries of menus.
 SEPARATORS = "|»›•·→"
-BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies", "subscribe to our newsletter", "sign up for our newsletter", "powered by wordpress", "enable javascript", "click here to", "skip to content", "share on facebook")
-SHORT = 300
+#: Phrases of boilerplate lines by language; a line of any language is held against all.
+BOILERPLATE = {
+    "en": ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies", "subscribe to our newsletter", "sign up for our newsletter", "enable javascript", "skip to content", "share on facebook"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "cookies akzeptieren", "newsletter abonnieren", "zum inhalt springen"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies", "conditions générales", "aller au contenu"),
+    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "aceptar cookies", "saltar al contenido"),
+}
+PHRASES = "(?iu)" + "|".join(x for own in BOILERPLATE.values() for x in own)
+#: A line is boilerplate if such phrases make up this part of it: one in so many characters.
+PART = 8
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,7 +72,7 @@ def fails(line: Column, symbols: Column) -> Column:
     punctuation = ((symbols >= 3) & (symbols * 10 >= n)) | ((count_of(line, "!") >= 4) & (count_of(line, "!") * 10 >= n))
     separators = count_of(line, SEPARATORS)
     navigation = (separators >= 3) & (separators * 20 >= n)
-    boilerplate = F.when(n <= SHORT, line.rlike("(?i)" + "|".join(BOILERPLATE))).otherwise(False)
+    boilerplate = F.when(line.rlike(PHRASES), (n - F.length(F.regexp_replace(line, PHRASES, ""))) * PART >= n).otherwise(False)
     return punctuation | navigation | boilerplate
 
 
@@ -89,21 +97,37 @@ def measures(text: Column) -> Column:
     return F.struct(let(words_of(whole), of_words).alias("w"), let(lines, of_lines).alias("l"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs with its measures (q_*), the cleaned text and the verdict."""
-    d = docs.withColumn("q", measures(F.col("text")))
-    w, ln = (lambda n: F.col(f"q.w.{n}")), (lambda n: F.col(f"q.l.{n}"))
-    base = (w("n_words") < 50) | (w("n_repeat_words") * 100 > w("n_words") * 50)
-    return d.withColumns({f"q_{n}": w(n).cast("long") for n in ("n_words", "word_chars", "n_repeat_words")} | {f"q_{n}": ln(n).cast("long") for n in ("n_symbols", "n_dup_lines", "lost_lines", "lost_chars")} | {"q_text": ln("text"), "q_base_failed": base, "q_kept": ~base & (ln("lost_chars") * 2 <= ln("text_chars"))}).drop("q")
+def verdicts(q: Column) -> dict[str, Column]:
+    """What is asked about a text from its measures q."""
+    w, ln = q["w"], q["l"]
+    base = (w["n_words"] < 50) | (w["n_repeat_words"] * 100 > w["n_words"] * 50)
+    out = {n: w[n].cast("long") for n in ("n_words", "word_chars")} | {n: ln[n].cast("long") for n in ("n_symbols", "n_dup_lines")}
+    return out | {"n_repeat_words": w["n_repeat_words"].cast("long"), "base_failed": base, "kept": ~base & (ln["lost_chars"] * 2 <= ln["text_chars"]), "text": ln["text"]}
+
+
+def once(value: Column) -> Column:
+    """The value as a column of its own: what a generator makes isn't computed again in every expression and filter that reads it."""
+    return F.explode(F.array(value))
+
+
+def own_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def judge(docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", once(measures(F.col("text"))).alias("q"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged(docs.select("doc_id", "text")).select("doc_id", *(F.col(f"q_{n}").alias(n) for n in names))
+    found = verdicts(F.col("q"))
+    return d.select("doc_id", *(found[n].alias(n) for n in names))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with failing lines removed and n_chars renewed, in the columns of docs."""
-    kept = judged(docs).where("q_kept")
-    own = {"text": F.col("q_text")} | ({"n_chars": F.length("q_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    q = own_name(docs, "q")
+    found = verdicts(F.col(q))
+    kept = docs.select("*", once(measures(F.col("text"))).alias(q)).where(found["kept"])
+    own = {"text": found["text"]} | ({"n_chars": F.length(found["text"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return kept.select(*(own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
