@@ -120,26 +120,34 @@ def cut(at: np.ndarray, off: np.ndarray, size: np.ndarray, total: int, window: i
 
 
 class Encoder:
-    """Ids of a byte-level BPE tokenizer file; equal, text for text, to the `tokenizers` library's on the same vocabulary.
+    """Ids of a byte-level BPE tokenizer file; equal, text for text, to what the `tokenizers` library gives for it without a template's tokens.
 
-    The ranks and the pattern are read from the tokenizer file and run by tiktoken, several times as fast.
+    The ranks and the pattern are read from the tokenizer file and run by tiktoken, several times as fast. The file's
+    added tokens are found inside texts first, as the library does; with `plain` their strings are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, plain: bool = False) -> None:
         import json
 
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, added = file["model"]["vocab"], file.get("added_tokens") or []
+        if odd := [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+            raise ValueError(f"added tokens with conditions: {odd}")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token)}
-        special = {t: i for t, i in vocabulary.items() if t.startswith("<|") and t.endswith("|>")}
-        for t in special:
-            ranks.pop(t.encode(), None)
-        self.run = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.wide = max(vocabulary.values()) >= 1 << 16
+        self.special = {} if plain else {t["content"]: t["id"] for t in added}
+        names = {t["content"] for t in added}
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in names and all(c in letters for c in token)}
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+        self.wide = max([*vocabulary.values(), *self.special.values()]) >= 1 << 16
+
+    def run(self, text: str) -> list[int]:
+        if any(t in text for t in self.special):
+            return self.encoding.encode(text, allowed_special="all")
+        return self.encoding.encode_ordinary(text)
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> DataFrame:
