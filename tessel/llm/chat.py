@@ -6,13 +6,16 @@ row, so formatting needs no grouping; a conversation's output is its rows in tur
 
 Defined cases: null text, null role and an unknown part type's missing text are empty; turns that tie are ordered by role
 then text; repeated rows are turns of their own; a null conversation id is a conversation; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are ignored. Of parts: a null list or part is nothing; a list that isn't JSON, or no list, is
+one text part with the string as it is; a part that is a string is text, and any other that is no object is text in JSON; a size
+that is no positive finite number counts as missing; half a surrogate pair becomes U+FFFD.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rows
+from tessel.llm.common import Rows, small
 
 #: What opens, ends and marks a turn; strings that chat templates read as control.
 OPEN, BREAK, CLOSE = "<|turn|>", "\n", "<|end|>\n"
@@ -48,6 +51,19 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\([\\n]?)", lambda m: {"\\": "\\", "n": "\n", "": ""}[m[1]], role)
 
 
+_HALF = re.compile("[\ud800-\udfff]")
+#: No attachment counts for more tokens, so that sums stay in range.
+MOST = 1 << 40
+
+
+def size(x: object, missing: float) -> float:
+    try:
+        out = float(x)  # type: ignore[arg-type]
+    except (TypeError, ValueError, OverflowError):
+        return missing
+    return min(out, float(MOST)) if out > 0 and not math.isnan(out) and not math.isinf(out) else missing
+
+
 @dataclass
 class Flattener:
     """Visitor over content parts: text is escaped, the rest become numbered placeholders."""
@@ -58,29 +74,43 @@ class Flattener:
     out: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
 
-    def visit(self, part: dict) -> None:
-        kind = part.get("type") or "text"
-        getattr(self, f"visit_{kind}", self.visit_text)(part)
+    def visit(self, part: object) -> None:
+        if part is None:
+            return
+        if not isinstance(part, dict):
+            part = {"text": part}
+        kind = part.get("type")
+        {"image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(kind if isinstance(kind, str) else "", self.visit_text)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        text = part.get("text")
+        self.out.append(escape(_HALF.sub("\ufffd", text if isinstance(text, str) else "" if text is None else json.dumps(text))))
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         n = len(self.attachments)
-        self.attachments.append({"n": n, "type": kind, "ref": part.get("ref"), "tokens": tokens})
+        self.attachments.append({"n": n, "type": kind, "ref": part.get("ref"), "tokens": min(tokens, MOST)})
         self.out.append(f"<|{kind}:{n}|>")
 
     def visit_image(self, part: dict) -> None:
-        self._attach("image", part, -(-int(part.get("width") or self.patch) // self.patch) * -(-int(part.get("height") or self.patch) // self.patch))
+        self._attach("image", part, math.ceil(size(part.get("width"), self.patch) / self.patch) * math.ceil(size(part.get("height"), self.patch) / self.patch))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, round(float(part.get("seconds") or 0) * self.audio_rate)))
+        self._attach("audio", part, max(1, round(size(part.get("seconds"), 0) * self.audio_rate)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, int(part.get("pages") or 1)) * self.page_tokens)
+        self._attach("document", part, max(1, int(size(part.get("pages"), 1))) * self.page_tokens)
+
+
+def parts_of(text: str | None) -> list:
+    """The parts of a JSON list."""
+    try:
+        found = json.loads(text) if text else []
+    except (ValueError, RecursionError):
+        found = text
+    return found if isinstance(found, list) else [] if found is None else [{"text": text}]
 
 
-def format_turn(role: str | None, parts: list[dict], loss_role: str = "assistant") -> tuple[str, int, int, list[dict]]:
+def format_turn(role: str | None, parts: list, loss_role: str = "assistant") -> tuple[str, int, int, list[dict]]:
     """The turn's string, the code points [from, to) under the loss mask, and its attachments."""
     f = Flattener()
     for p in parts:
@@ -95,9 +125,9 @@ def format_chat(turns: DataFrame, parts_json: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(FORMATTED)
-        for b in batches:
+        for b in small(batches):
             for conv, turn, role, text in zip(*(c.to_pylist() for c in b.columns)):
-                parts = json.loads(text or "[]") if parts_json else [{"type": "text", "text": text}]
+                parts = parts_of(text) if parts_json else [{"type": "text", "text": text}]
                 out, a, e, attachments = format_turn(role, parts)
                 if rows.add(conv, turn, role, out, a, e, json.dumps(attachments), sum(x["tokens"] for x in attachments), weight=len(out)):
                     yield from rows.take()
@@ -129,7 +159,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         def close() -> bool:
             return state is not None and rows.add(now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
-        for b in batches:
+        for b in small(batches):
             for conv, out, a, e in zip(*(c.to_pylist() for c in b.columns)):
                 if state is None or conv != now:
                     if close():
