@@ -30,6 +30,7 @@ class Request:
     where: str | None = None
     limit: int | None = None
     descending: bool = False
+    baseline: str | None = None
 
 
 def aggregate(m: Metric) -> list[Column]:

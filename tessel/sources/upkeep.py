@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import time
-import uuid
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,10 @@ def data_version(spark: SparkSession, path: str) -> str:
     root = re.sub(r"^file:/+", "/", path.rstrip("/"))
     name = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{re.escape(root)}/?", "")
     named = files.select(name.alias("name"), F.sha2("content", 256).alias("digest"))
-    lines = F.sort_array(F.collect_list(F.concat_ws("\0", "name", "digest")))
-    return named.agg(F.sha2(F.concat_ws("\n", lines), 256)).first()[0]
+    digest = hashlib.sha256()
+    for r in named.orderBy("name").toLocalIterator():  # one partition of names at a time
+        digest.update(f"{r.name}\0{r.digest}\n".encode())
+    return digest.hexdigest()
 
 
 def import_history(spark: SparkSession, path: str) -> DataFrame:
@@ -36,50 +38,66 @@ def import_history(spark: SparkSession, path: str) -> DataFrame:
     return first.select("question", "sql", "reviewer", F.col("reviewer").isNotNull().alias("reviewed"), "place")
 
 
+def header_problems(names: list[str]) -> list[str]:
+    """What keeps a header from naming every column: blanks, and names that differ only in case or blanks around them."""
+    bare = [n.strip().lower() for n in names]
+    return [f"column {i + 1} has no name" if not n else f"column {i + 1} repeats {n!r}" for i, n in enumerate(bare) if not n or n in bare[:i]]
+
+
 def profile_csv(df: DataFrame) -> DataFrame:
-    """S-28: (name, type, nulls) of text columns: NUMBER if every value that isn't blank is a finite number and there is one. All rows are judged."""
-    names = df.columns
-    if any(not n.strip() for n in names) or len({n.strip().lower() for n in names}) < len(names):
-        raise ValueError("a CSV file needs non-empty, unique column names")
-    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n.strip()).alias("name"), F.trim(F.col(f"`{n}`")).alias("value")) for i, n in enumerate(names))))
-    cells = df.select(pairs.alias("c")).select("c.*").withColumn("full", F.col("value").isNotNull() & (F.col("value") != ""))
-    number = F.expr("try_cast(value as double)")
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
-    out = cells.groupBy("place", "name").agg(F.count_if("full").alias("filled"), F.count_if(F.col("full") & finite).alias("numbers"), F.count_if(~F.col("full")).alias("nulls"))
-    return out.select("place", "name", F.when((F.col("filled") > 0) & (F.col("filled") == F.col("numbers")), "NUMBER").otherwise("TEXT").alias("type"), "nulls")
-
-
-def expire_reports(spark: SparkSession, root: str, days: int = 30, dry_run: bool = True, now: float | None = None) -> dict:
-    """N-17: reports older than `days` and their manifests go to .expired, never away; by default it is only told which. Works on any store that Spark reads."""
-    if not 1 <= days <= 3650:
-        raise ValueError("reports are kept for 1 to 3650 days")
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    top = Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    oldest, expired, skipped = (time.time() if now is None else now) - days * 86400, [], []
-    for s in sorted(fs.listStatus(top), key=lambda s: s.getPath().getName()):
-        name = s.getPath().getName()
-        if not name.endswith(".html") or s.getModificationTime() / 1000 > oldest:
-            continue
-        run = name.removesuffix(".html")
-        if not re.fullmatch(r"[A-Za-z0-9_-]{1,128}", run):
-            skipped.append({"run_id": run, "reason": "unsafe name"})
-            continue
-        if not dry_run:
-            to = Path(f"{root.rstrip('/')}/.expired/{run}_{uuid.uuid4().hex}")
-            fs.mkdirs(to)
-            for part in (name, f"{run}.manifest.json"):
-                if fs.exists(Path(top, part)) and not fs.rename(Path(top, part), Path(to, part)):
-                    skipped.append({"run_id": run, "reason": f"{part} was not moved"})
-        expired.append(run)
-    return {"dry_run": dry_run, "expired": expired, "skipped": skipped}
+    """S-28: (place, name, type, nulls) of text columns, in one aggregation of all rows: NUMBER if some value is filled and all such are finite numbers."""
+    if problems := header_problems(df.columns):
+        raise ValueError("; ".join(problems))
+
+    def judged(place: int, name: str) -> Column:
+        value = F.nullif(F.trim(F.col(f"`{name}`")), F.lit(""))
+        number = value.try_cast("double")
+        other = value.isNotNull() & (number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")))
+        kind = F.when((F.count(value) > 0) & (F.count_if(other) == 0), "NUMBER").otherwise("TEXT")
+        return F.struct(F.lit(place).alias("place"), F.lit(name.strip()).alias("name"), kind.alias("type"), F.count_if(value.isNull()).alias("nulls"))
+
+    return df.agg(F.array(*(judged(i, n) for i, n in enumerate(df.columns))).alias("a")).select(F.inline("a"))
+
+
+def report_ages(spark: SparkSession, root: str, days: int = 30, now: datetime | None = None) -> DataFrame:
+    """N-17: (report, modified, verdict) of the HTML reports of a folder: `keep`, `expire` or, where a name isn't plain, `inspect`. Only names and times are read."""
+    if days < 1:
+        raise ValueError("a report is kept for a day at least")
+    limit = (now or datetime.now(timezone.utc)).timestamp() - days * 86400
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(root).select("path", "modificationTime")
+    report = F.url_decode(F.regexp_extract("path", r"([^/]+)\.html$", 1))
+    old = F.unix_timestamp("modificationTime") <= F.lit(limit)
+    verdict = F.when(~old, "keep").when(report.rlike(r"^\w[\w-]*$"), "expire").otherwise("inspect")
+    return files.select(report.alias("report"), F.col("modificationTime").alias("modified"), verdict.alias("verdict"))
+
+
+def retire_reports(spark: SparkSession, root: str, ages: DataFrame) -> list[str]:
+    """N-17: moves what report_ages says has expired, with whatever else begins with the report's name and a dot, to `_retired/<day of the report>`; nothing is deleted. The names moved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    moved = []
+    for r in ages.where("verdict = 'expire'").orderBy("report").toLocalIterator():
+        target = path(f"{root.rstrip('/')}/_retired/{r.modified:%Y-%m-%d}")
+        fs.mkdirs(target)
+        for s in fs.globStatus(path(f"{root.rstrip('/')}/{r.report}.*")):
+            name = s.getPath().getName()
+            if not fs.rename(s.getPath(), path(target, name)):
+                raise OSError(f"{name} was not moved")
+            moved.append(name)
+    return moved
 
 
 def period_order(df: DataFrame, label: str, position: str, series: list[str] | None = None) -> DataFrame:
     """D-16: rows whose ISO period label isn't after the one before it in the same series; none means a proper time axis."""
-    w = (Window.partitionBy(*series) if series else Window.partitionBy(F.lit(1))).orderBy(position)
     known = F.col(label).rlike(r"^\d{4}(-(\d{2}(-\d{2})?|Q[1-4]|W\d{2}))?$")
-    return df.withColumn("previous", F.lag(label).over(w)).where(~known | (F.col("previous") >= F.col(label)))
+    if series:
+        return df.withColumn("previous", F.lag(label).over(Window.partitionBy(*series).orderBy(position))).where(~known | (F.col("previous") >= F.col(label)))
+    # one series over all rows: each range of positions is looked at alone, and knows the last label of the ranges before it
+    d = df.repartitionByRange(position).withColumn("__part", F.spark_partition_id())
+    ends = d.groupBy("__part").agg(F.max_by(label, position).alias("__end"))
+    before = ends.withColumn("__end", F.last("__end", True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))  # as many rows as ranges
+    inside = d.withColumn("previous", F.lag(label).over(Window.partitionBy("__part").orderBy(position))).join(before, "__part")
+    return inside.withColumn("previous", F.coalesce("previous", "__end")).drop("__part", "__end").where(~known | (F.col("previous") >= F.col(label)))
 
 
-__all__ = ["data_version", "expire_reports", "import_history", "period_order", "profile_csv"]
+__all__ = ["data_version", "header_problems", "import_history", "period_order", "profile_csv", "report_ages", "retire_reports"]

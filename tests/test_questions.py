@@ -25,7 +25,7 @@ def test_longest_term_wins():
 
 
 def test_mentions_and_groups():
-    assert [x.name for x in q.mentions(model(), "订单 by town, secret")] == ["order", "order.city"]
+    assert q.mentions(model(), "订单 by town, secret") == ["order", "order.city"]
     assert q.groups_in(model(), "sales per the home town", []) == ["order.city"]
     assert q.groups_in(model(), "销售额按城市", []) == ["order.city"]
     assert q.groups_in(model(), "sales in town", []) == []
@@ -42,11 +42,11 @@ def test_request_and_errors(spark):
 def test_follow_up(spark):
     r = q.to_request(MODEL, "order count by order status", TODAY)
     out, why = q.follow_up(MODEL, r, "by order priority instead", TODAY)
-    assert out.dimensions == ("order.priority",) and why == ["replace_dimension"]
+    assert out.dimensions == ("order.priority",) and why == ["dimensions"]
     out, why = q.follow_up(MODEL, r, "top 5", TODAY)
     assert (out.limit, out.descending, out.metrics) == (5, True, r.metrics)
     out, why = q.follow_up(MODEL, replace(r, where="a = 1"), "only b = 2", TODAY)
-    assert out.where == "(a = 1) AND (b = 2)" and why == ["add_filter"]
+    assert out.where == "(a = 1) AND (b = 2)" and why == ["where"]
     assert q.follow_up(MODEL, r, "add order value", TODAY)[0].metrics == ("order_count", "order_value")
     assert q.follow_up(MODEL, r, "remove order status", TODAY)[0].dimensions == ()
     assert q.follow_up(MODEL, r, "over time", TODAY)[0].grain == "monthly"
