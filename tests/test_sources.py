@@ -38,6 +38,88 @@ def test_failed_batch_changes_nothing(spark, tmp_path):
         store.ingest("watch", one, RULES)
 
 
+class Killed(BaseException):
+    pass
+
+
+class DyingFileSystem:
+    """Works up to its n-th change, and then not at all: what a killed process leaves."""
+
+    CHANGES = ("rename", "delete", "create", "createNewFile", "mkdirs")
+
+    def __init__(self, fs, left):
+        self.fs, self.left = fs, left
+
+    def __getattr__(self, name):
+        def call(*args):
+            if self.left <= 0:
+                raise Killed
+            if name in self.CHANGES:
+                self.left -= 1
+                if self.left <= 0:
+                    raise Killed
+            return getattr(self.fs, name)(*args)
+
+        return call
+
+
+def test_killed_builds_leave_old_or_new(spark, tmp_path):
+    root = str(tmp_path / "store")
+    one = csv(spark, tmp_path / "a.csv", "1,A,2024-01-01,1\n2,,2024-01-03,12\n")
+    two = csv(spark, tmp_path / "b.csv", "3,C,2024-01-05,1\n4,,2024-01-06,12\n")
+    Store(spark, root).ingest("watch", one, RULES)
+    old = Store(spark, root).manifest()
+    outcomes, n = [], 0
+    while True:
+        n += 1
+        killed = Store(spark, root, lease=-1)
+        killed._fs = DyingFileSystem(killed._fs, n)
+        try:
+            killed.ingest("watch", two, RULES)
+            break
+        except Killed:
+            pass
+        store = Store(spark, root, lease=-1)  # the killed builder's lock counts as left behind
+        seen = store.manifest()
+        rows = sorted(r.event_id for r in store.read("watch").collect())
+        assert rows == (["1"] if seen == old else ["1", "3"])
+        outcomes.append(seen == old)
+        if store.residue():
+            with pytest.raises(PublishError, match="crashed"):
+                store.ingest("watch", two, RULES)
+            store.reconcile()
+        assert store.residue() == [] == store.missing()
+        if seen != old:  # back to the old one for the next round
+            for v in store.versions()[1:]:
+                store._fs.delete(store._at(f"manifest-{v:010d}.json"), False)
+            store.reconcile()
+    assert outcomes[0] and not outcomes[-1] and outcomes == sorted(outcomes, reverse=True)
+    store = Store(spark, root, lease=-1)
+    assert sorted(r.event_id for r in store.read("watch").collect()) == ["1", "3"]
+    assert [(r.run, r.staged, r.published, r.quarantined, r.watermark_after) for r in store.lineage().orderBy("run").collect()] == [(0, 2, 1, 1, "2024-01-01"), (1, 2, 1, 1, "2024-01-05")]
+
+
+def test_lock_of_a_killed_builder(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store._fs.mkdirs(store._at(""))
+    store._write("_lock", "{}")
+    with pytest.raises(PublishError, match="holds the lock"), store.lock():
+        pass
+    with Store(spark, store.root, lease=-1).lock():
+        assert store.holder()["owner"]
+    assert store.holder() is None
+
+
+def test_damaged_manifest_falls_back(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.ingest("watch", csv(spark, tmp_path / "a.csv", "1,A,2024-01-01,1\n"), RULES)
+    good = store.manifest()
+    store._write("manifest-0000000002.json", '{"assets": {')
+    assert store.manifest() == good
+    with pytest.raises(PublishError, match="meanwhile"):
+        store.commit(good)
+
+
 def test_stream_replay_changes_nothing(spark, tmp_path):
     from tessel.streaming.windows import publish_stream
 
