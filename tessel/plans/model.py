@@ -62,6 +62,7 @@ class Model:
     entities: dict[str, Entity]
     relationships: list[Relationship]
     metrics: dict[str, Metric]
+    calendar: str | None = None  # J-05: the entity of days, whose key is a date
 
     def dimension(self, ref: str) -> tuple[Entity, str]:
         """entity.dimension to its entity and column; hidden columns are refused (P-10)."""

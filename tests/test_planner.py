@@ -64,6 +64,36 @@ def test_refusals(shop, request_, rule):
         compile_request(*shop, request_)
 
 
+@pytest.mark.parametrize("where", ["secret > 0", "item.secret > 0", "sale.hidden > 0", "item_valid > 0", "is_valid2 > 0"])
+def test_hidden_and_foreign_columns_are_no_filters(shop, where):
+    from dataclasses import replace
+
+    model, tables = shop
+    sale, item = model.entities["sale"], model.entities["item"]
+    own = replace(sale, dimensions={**sale.dimensions, "hidden": "is_valid", "secret": "is_valid"}, hidden=frozenset({"is_valid"}))
+    closed = Model({**model.entities, "sale": own, "item": item}, model.relationships, model.metrics)
+    with pytest.raises(SemanticError, match="hidden_column|unknown_table_or_column"):  # a column of a joined table isn't the fact's own either
+        compile_request(closed, tables, Request(("net_sales",), ("item.category",), where=where))
+
+
+def test_filters_over_several_facts_name_shared_dimensions(shop):
+    with pytest.raises(SemanticError, match="all facts share"):
+        compile_request(*shop, Request(("net_sales", "returned"), where="amount > 1"))
+    assert rows(shop, "net_sales", "returned", where="item.category = 'a'") == [(40.0, 4.0)]  # both returned sales are of category a
+    assert rows(shop, "net_sales", "returned", where="item.category = 'b'") == [(20.0, None)]
+
+
+def test_roles_and_self_joins(spark):
+    tables = {"person": spark.createDataFrame([(1, "ann", None), (2, "bob", 1), (3, "cy", 1), (4, "di", 2)], "id long, name string, boss_id long"), "task": spark.createDataFrame([(1, 2, 4, 5.0), (2, 3, 2, 7.0)], "task_id long, from_id long, to_id long, hours double")}
+    model = Model(
+        {"task": Entity("task", "task", ("task_id",)), "giver": Entity("giver", "person", ("id",), {"name": "name"}), "taker": Entity("taker", "person", ("id",), {"name": "name"}), "boss": Entity("boss", "person", ("id",), {"name": "name"})},
+        [Relationship("task", "from_id", "giver", "id"), Relationship("task", "to_id", "taker", "id"), Relationship("taker", "boss_id", "boss", "id")],
+        {"hours": Metric("hours", "task", "sum", "hours")},
+    )
+    out = compile_request(model, tables.__getitem__, Request(("hours",), ("giver.name", "taker.name", "boss.name"), where="taker.name != 'zed'"))
+    assert sorted(tuple(r) for r in out.collect()) == [("bob", "di", "bob", 5.0), ("cy", "bob", "ann", 7.0)]
+
+
 def test_additivity(shop):
     model, _ = shop
     assert model.additive(model.metrics["order_count"]) and not model.additive(model.metrics["valid_ratio"])
