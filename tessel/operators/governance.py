@@ -1,4 +1,4 @@
-"""Read-only SQL policy on Catalyst plans.
+"""Read-only SQL policy on Catalyst plans.
 
 The parsed plan shows what a statement is and names; the analyzed plan shows which columns of which tables it reads. Node
 classes are allow-listed, so a statement kind that nobody thought of is refused.

@@ -8,11 +8,12 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.functions import calendar, scalars
-from tessel.operators import analysis, quality, retrieval
+from tessel.functions import calendar
+from tessel.functions.ordered import range_join
+from tessel.operators import analysis, catalogue, quality, retrieval
 from tessel.plans.model import Entity, Metric, Model, Relationship
-from tessel.plans import questions
-from tessel.plans.planner import Request, compile_request
+from tessel.plans import builder, questions
+from tessel.plans.planner import Request, compile_comparison, compile_request
 from tessel.sources import ingest, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def tables(spark: SparkSession, sf: str) -> Callable[[str], DataFrame]:
-    return lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    return lambda name: calendar.days(spark, "1995-01-01", "2024-12-31") if name == "calendar" else spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def r2(name: str, digits: int = 2) -> Column:
@@ -47,6 +48,9 @@ MODEL = Model(
         "region": Entity("region", "region", ("r_regionkey",), {"name": "r_name"}),
         "part": Entity("part", "part", ("p_partkey",), {"brand": "p_brand", "type": "p_type"}),
         "event": Entity("event", "events", ("event_id",), {"type": "event_type", "user": "user_id"}),
+        "supplier": Entity("supplier", "supplier", ("s_suppkey",), {"name": "s_name"}, frozenset({"s_acctbal"})),
+        "supplier_nation": Entity("supplier_nation", "nation", ("n_nationkey",), {"name": "n_name"}),
+        "calendar": Entity("calendar", "calendar", ("full_date",), {"month": "month_name", "weekday": "weekday"}, order_by={"month": "month_number", "weekday": "weekday_number"}),
     },
     relationships=[
         Relationship("order", "o_custkey", "customer", "c_custkey"),
@@ -55,6 +59,8 @@ MODEL = Model(
         Relationship("line", "l_orderkey", "order", "o_orderkey"),
         Relationship("line", "l_partkey", "part", "p_partkey"),
         Relationship("event", "user_id", "customer", "c_custkey"),
+        Relationship("line", "l_suppkey", "supplier", "s_suppkey"),
+        Relationship("supplier", "s_nationkey", "supplier_nation", "n_nationkey"),
     ],
     metrics={
         "order_value": Metric("order_value", "order", "sum", "o_totalprice", time="o_orderdate", coverage=(date(1995, 1, 1), date(2001, 8, 1))),
@@ -68,7 +74,12 @@ MODEL = Model(
         "event_count": Metric("event_count", "event", "count", "*", time="ts"),
         "purchase_value": Metric("purchase_value", "event", "sum", "value", filters=("event_type = 'purchase'",), time="ts"),
         "local_events": Metric("local_events", "event", "count", "*", time="ts", offset="+08:00"),
+        "mean_value": Metric("mean_value", "order", "avg", "o_totalprice", time="o_orderdate"),
+        "least_value": Metric("least_value", "order", "min", "o_totalprice", time="o_orderdate"),
+        "greatest_value": Metric("greatest_value", "order", "max", "o_totalprice", time="o_orderdate"),
+        "orders_with": Metric("orders_with", "line", "count_distinct", "l_orderkey", time="l_shipdate"),  # a line is the bridge of orders and parts
     },
+    calendar="calendar",
 )
 
 
@@ -84,9 +95,9 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return ask(spark, sf, "order_value", dimensions=("region.name",), grain="monthly", ranges=((date(1996, 1, 1), date(1998, 12, 31)),))
 
 
-@query("select round(sum(o_totalprice), 2) as total, count(*) as n, count(distinct o_custkey) as customers, round(avg(o_totalprice), 4) as mean, min(o_totalprice) as least, max(o_totalprice) as greatest from orders")
+@query("select round(sum(o_totalprice), 2) as order_value, count(*) as order_count, count(distinct o_custkey) as customers, round(avg(o_totalprice), 2) as mean_value, min(o_totalprice) as least_value, max(o_totalprice) as greatest_value from orders")
 def metric_scalar(spark: SparkSession, sf: str) -> DataFrame:
-    return tables(spark, sf)("orders").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("greatest"))
+    return ask(spark, sf, "order_value", "order_count", "customers", "mean_value", "least_value", "greatest_value")
 
 
 @query("""select p_brand as "part.brand", round(sum(l_extendedprice * (1 - l_discount)), 2) as line_value from lineitem join part on l_partkey = p_partkey group by 1 order by 2 desc, 1 limit 10""")
@@ -204,10 +215,16 @@ def set_intersect(spark: SparkSession, sf: str) -> DataFrame:
     return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").where("s_acctbal > 5000").select("s_nationkey"))
 
 
-@query("select c_custkey as k from customer except select o_custkey from orders")
+@query("select c_custkey as k from customer except select o_custkey from orders where o_orderstatus = 'P'")
 def set_except(spark: SparkSession, sf: str) -> DataFrame:
     t = tables(spark, sf)
-    return t("customer").select(F.col("c_custkey").alias("k")).join(t("orders").select(F.col("o_custkey").alias("k")), "k", "left_anti").distinct()
+    return t("customer").select(F.col("c_custkey").alias("k")).join(t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), "k", "left_anti").distinct()
+
+
+@query("select c_nationkey as k from customer union all select s_nationkey from supplier")
+def set_union_all(spark: SparkSession, sf: str) -> DataFrame:
+    t = tables(spark, sf)
+    return t("customer").select(F.col("c_nationkey").alias("k")).unionAll(t("supplier").select("s_nationkey"))
 
 
 def _monthly(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,11 +398,9 @@ def ingest_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return judged.groupBy(F.coalesce(ingest.REASON, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("select event_id, value from events where event_id > 9000 or (event_id > 900 and (select max(event_id) from events) < 9000)")
+@query("select event_id, value from events where event_id > 900")
 def ingest_watermark_delta(spark: SparkSession, sf: str) -> DataFrame:
-    e = tables(spark, sf)("events").select("event_id", "value")
-    top = e.agg(F.max("event_id")).first()[0]
-    return ingest.after_watermark(e, "event_id", "9000" if top >= 9000 else "900")
+    return ingest.after_watermark(tables(spark, sf)("events").select("event_id", "value"), "event_id", "900")
 
 
 @query("""select 'c_custkey' as "column", count(*) as n, 'INTEGER' as type from customer union all select 'c_acctbal', count(*), 'REAL' from customer union all select 'c_name', count(*), 'TEXT' from customer""")
@@ -419,11 +434,8 @@ def distinct_preview(spark: SparkSession, sf: str) -> DataFrame:
 @query("""with t as (select item_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from benchmark)
     select a.item_id, b.item_id as other_id, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) as similarity from t a, t b where a.item_id < b.item_id and len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.2""")
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    t = tables(spark, sf)("benchmark").select("item_id", scalars.tokens(F.col("text")).alias("w"))
-    e = t.select("item_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    o = e.select(F.col("item_id").alias("other_id"), F.col("n").alias("m"), "t")
-    pairs = e.join(o, "t").where("item_id < other_id").groupBy("item_id", "n", "other_id", "m").agg(F.count("*").alias("both"))
-    return pairs.select("item_id", "other_id", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("similarity")).where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= 0.2)
+    out = retrieval.jaccard_pairs(tables(spark, sf)("benchmark"), "item_id", "text", 0.2)
+    return out.select("item_id", F.col("other_item_id").alias("other_id"), r2("similarity", 6))
 
 
 @query(r"""with o as (select doc_id, coalesce(text, '') as text from documents), n as (select doc_id, trim(regexp_replace(text, ' +', ' ', 'g'), ' ') as text from o union all select -1 - page_id, coalesce(html, '') from pages)
@@ -488,8 +500,160 @@ def csv_profile(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.profile_csv(c.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment")))
 
 
-@query("""with m as (select o_orderpriority as priority, strftime(o_orderdate, '%Y-%m') as period from orders group by 1, 2), w as (select *, lag(period) over (partition by priority order by period) as previous from m) select priority, period, previous from w where previous >= period""")
+@query("""with m as (select o_orderpriority as priority, strftime(o_orderdate, '%Y-%m') as period, sum(o_totalprice) as v from orders group by 1, 2), w as (select *, lag(period) over (partition by priority order by v, period) as previous from m) select priority, period, previous from w where previous >= period""")
 def period_order_breaks(spark: SparkSession, sf: str) -> DataFrame:
-    """No rows: each priority's months are in order."""
-    m = tables(spark, sf)("orders").groupBy(F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.min("o_orderdate").alias("first"))
-    return upkeep.period_order(m, "period", "first", ["priority"]).select("priority", "period", "previous")
+    """Each priority's months in order of value: where they aren't in order of time."""
+    m = tables(spark, sf)("orders").groupBy(F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.sum("o_totalprice").alias("v"))
+    return upkeep.period_order(m.withColumn("at", F.struct("v", "period")), "period", "at", ["priority"]).select("priority", "period", "previous")
+
+
+@query("""select strftime(o_orderdate, '%B') as "calendar.month", round(sum(o_totalprice), 2) as order_value, count(distinct o_custkey) as customers from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1998-01-01' group by 1""")
+def calendar_months(spark: SparkSession, sf: str) -> DataFrame:
+    """By the calendar table's month names, in the order of months."""
+    return ask(spark, sf, "order_value", "customers", dimensions=("calendar.month",), ranges=((date(1996, 1, 1), date(1997, 12, 31)),))
+
+
+@query("""select strftime(o_orderdate, '%A') as "calendar.weekday", count(*) as order_count from orders group by isodow(o_orderdate), 1 order by isodow(o_orderdate) limit 3""")
+def natural_order_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three weekdays: labels go by their companion, not by the alphabet."""
+    return ask(spark, sf, "order_count", dimensions=("calendar.weekday",), limit=3)
+
+
+@query("""select sn.n_name as "supplier_nation.name", cn.n_name as "nation.name", round(sum(l_extendedprice * (1 - l_discount)), 2) as line_value from lineitem join supplier on l_suppkey = s_suppkey join nation sn on s_nationkey = sn.n_nationkey
+    join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation cn on c_nationkey = cn.n_nationkey where cn.n_name in ('NATION_1', 'NATION_2', 'NATION_3') or sn.n_name = 'NATION_4' group by 1, 2""")
+def role_playing_nations(spark: SparkSession, sf: str) -> DataFrame:
+    return ask(spark, sf, "line_value", dimensions=("supplier_nation.name", "nation.name"), where="nation.name in ('NATION_1', 'NATION_2', 'NATION_3') or supplier_nation.name = 'NATION_4'")
+
+
+@query("""select p_brand as "part.brand", o_orderpriority as "order.priority", count(distinct l_orderkey) as orders_with from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey group by 1, 2""")
+def bridge_orders_of_brands(spark: SparkSession, sf: str) -> DataFrame:
+    return ask(spark, sf, "orders_with", dimensions=("part.brand", "order.priority"))
+
+
+@query("""with p as (select user_id, epoch_us(ts) as at from events where event_type = 'purchase') select e.event_type as kind, count(*) as n, round(sum(e.value), 2) as total from events e join p on e.user_id = p.user_id and epoch_us(e.ts) >= p.at and epoch_us(e.ts) < p.at + 21600000000 group by 1""")
+def range_join_after_purchase(spark: SparkSession, sf: str) -> DataFrame:
+    """What users do in the six hours from each of their purchases on."""
+    e = tables(spark, sf)("events").select("user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    hours = 6 * 3600 * 1_000_000
+    p = e.where("event_type = 'purchase'").select("user_id", F.col("at").alias("begin"))
+    return range_join(e, F.col("at"), p, F.col("begin"), F.col("begin") + hours, hours, ["user_id"]).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""select p_brand as name, round(sum(l_extendedprice), 2) as value, (select count(distinct p_brand) from lineitem join part on l_partkey = p_partkey) > 4 as truncated from lineitem join part on l_partkey = p_partkey group by 1 order by sum(l_extendedprice) desc, 1 limit 4""")
+def truncated_top_brands(spark: SparkSession, sf: str) -> DataFrame:
+    t = tables(spark, sf)
+    b = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("name")).agg(F.sum("l_extendedprice").alias("value"))
+    return analysis.truncated_top(b, "value", ["name"], 4).select("name", r2("value"), "truncated")
+
+
+@query("""with q as (select o_orderpriority as p, year(o_orderdate) || '-Q' || quarter(o_orderdate) as period, (year(o_orderdate) - 1) || '-Q' || quarter(o_orderdate) as before, sum(o_totalprice) as v from orders group by 1, 2, 3)
+    select a.p as "order.priority", a.period, a.before as baseline_period, round(a.v, 2) as current, round(b.v, 2) as baseline, round(a.v - b.v, 2) as delta, round((a.v - b.v) / abs(b.v), 6) as relative, round((a.v - b.v) / abs(b.v) * 100, 4) as percent, case when b.v is null then 'missing_value' else 'ok' end as state
+    from q a left join q b on a.p = b.p and b.period = a.before where a.period like '1997-%'""")
+def question_year_over_year(spark: SparkSession, sf: str) -> DataFrame:
+    r = questions.to_request(MODEL, "Quarterly order value by order priority in 1997 year over year", date(2001, 8, 1))
+    out = compile_comparison(MODEL, tables(spark, sf), r)
+    return out.select(F.col("`order.priority`").alias("order.priority"), "period", "baseline_period", r2("current"), r2("baseline"), r2("delta"), r2("relative", 6), r2("percent", 4), "state")
+
+
+@query("""select strftime(o_orderdate, '%Y-%m') as period, count(*) as order_count from orders where (o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-04-01') or (o_orderdate >= timestamp '1998-05-01' and o_orderdate < timestamp '1998-06-01') group by 1""")
+def question_several_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Two ranges, one joined and one in Chinese."""
+    return answer(spark, sf, "monthly order count from January 1996 to March 1996 and 1998年5月")
+
+
+@query("""with m as (select strftime(o_orderdate, '%Y-%m') as label, sum(o_totalprice) as v from orders group by 1) select min(label) as first_label, max(label) as last_label, round(arg_min(v, label), 2) as first, round(arg_max(v, label), 2) as last, count(*) as points, round(arg_max(v, label) - arg_min(v, label), 2) as delta from m""")
+def series_first_last(spark: SparkSession, sf: str) -> DataFrame:
+    s = analysis.series(_monthly(spark, sf))
+    return analysis.series_ends(s, "label", "value").select("first_label", "last_label", r2("first"), r2("last"), "points", r2("delta"))
+
+
+@query("""with m as (select strftime(o_orderdate, '%Y-%m') as label, sum(o_totalprice) as v from orders group by 1) select '2001-08' as label, round(max(v) filter (where label = '2001-08'), 2) as value, '2001-07' as baseline_label, round(max(v) filter (where label = '2001-07'), 2) as baseline from m""")
+def comparison_of_last_month(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.comparison_pair(analysis.series(_monthly(spark, sf)), "2001-08", "2001-07").select("label", r2("value"), "baseline_label", r2("baseline"))
+
+
+@query("""with g as (select n_name as d, round(sum(o_totalprice), 2) as v, count(*) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1)
+    select 'order_value' as metric, max(v) as greatest, min(v) as least, (select d from g order by v desc, d limit 1) as top from g union all select 'order_count', cast(max(n) as double), cast(min(n) as double), (select d from g order by n desc, d limit 1) from g""")
+def metric_cards(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.metric_cards(ask(spark, sf, "order_value", "order_count", dimensions=("nation.name",)), "nation.name", ["order_value", "order_count"])
+
+
+@query("""with g as (select c_mktsegment as g, sum(c_acctbal) as v from customer group by 1) select g as "group", round(v, 2) as total, round(v / (select sum(v) from g), 6) as share, g = (select g from g order by v desc, g limit 1) as is_top from g""")
+def segment_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.group_totals(tables(spark, sf)("customer"), "c_mktsegment", "c_acctbal").select("group", r2("total"), r2("share", 6), "is_top")
+
+
+@query("""with o as (select strftime(o_orderdate, '%Y-%m') as m from orders where o_orderpriority = '1-URGENT' group by 1), e as (select strftime(unnest(generate_series(date '1994-11-01', date '2001-08-01', interval 1 month)), '%Y-%m') as m)
+    select (select count(*) from o) as rows_analysed, least((select count(*) from o), 24) as rows_shown, (select count(*) from o) > 24 as display_truncated, false as input_truncated, count(*) as expected, count(*) filter (where m not in (select m from o)) as missing, count(*) filter (where m not in (select m from o)) = 0 as complete from e""")
+def completeness_of_months(spark: SparkSession, sf: str) -> DataFrame:
+    m = tables(spark, sf)("orders").where("o_orderpriority = '1-URGENT'").select(F.date_format("o_orderdate", "yyyy-MM").alias("label")).distinct()
+    expected = spark.range(1).select(F.explode(F.sequence(F.lit("1994-11-01").cast("date"), F.lit("2001-08-01").cast("date"), F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("label"))
+    return analysis.completeness(m, "label", expected, 24).select("rows_analysed", F.col("rows_shown").cast("long").alias("rows_shown"), "display_truncated", "input_truncated", "expected", "missing", "complete")
+
+
+@query("""with b as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from benchmark), d as (select doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) as w from documents)
+    select item_id, doc_id, round(len(list_intersect(b.w, d.w)) / least(len(b.w), len(d.w)), 6) as overlap from b, d where len(list_intersect(b.w, d.w)) >= 5 and len(list_intersect(b.w, d.w)) / least(len(b.w), len(d.w)) >= 0.8""")
+def holdout_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that share most of their tokens with a benchmark item, or hold most of its."""
+    t = tables(spark, sf)
+    return retrieval.token_overlap(t("benchmark"), "item_id", t("documents"), "doc_id", "text", 0.8, 5).select("item_id", "doc_id", r2("overlap", 6))
+
+
+@query("""with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0), p as (select query_id, vec_id, list_distance(cast(embedding as double[]), cast(q as double[])) as distance from embeddings, q where label in (1, 3))
+    select query_id, vec_id, round(distance, 4) as distance from p qualify row_number() over (partition by query_id order by distance, vec_id) <= 3""")
+def vector_top3_of_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters come before ranking."""
+    v = tables(spark, sf)("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    return retrieval.vector_top(v, v.where("vec_id % 100 = 0"), "embedding", "vec_id", 3, {"label": [1, 3]}).select("query_id", "vec_id", r2("distance", 4))
+
+
+@query("select vec_id from embeddings where not coalesce(label = 2 , false)")
+def vector_delete_label(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.delete_where(tables(spark, sf)("embeddings"), {"label": 2}).select("vec_id")
+
+
+@query("""select 'region' as "table", 'r_name' as "column", r_name as value from region where lower(r_name) like '%europe%' or lower(r_name) like '%amer%' union all (select 'part', 'p_brand', p_brand from part where lower(p_brand) like '%brand%' group by p_brand order by length(p_brand), p_brand limit 3)""")
+def value_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of regions and parts that hold a word of the question."""
+    t = tables(spark, sf)
+    return retrieval.value_hints({"region": t("region"), "part": t("part").select("p_brand", "p_name")}, "sales of a BRAND in Europe or in Amer", {"part": {"p_name"}})
+
+
+@query("""select 'orders' as child, 'o_custkey' as child_column, 'customer' as parent, 'c_custkey' as parent_key where not exists (select 1 from orders where o_custkey not in (select c_custkey from customer))
+    union all select 'customer', 'c_nationkey', 'nation', 'n_nationkey' where not exists (select 1 from customer where c_nationkey not in (select n_nationkey from nation)) union all select 'supplier', 's_nationkey', 'nation', 'n_nationkey' where not exists (select 1 from supplier where s_nationkey not in (select n_nationkey from nation))
+    union all select 'nation', 'n_regionkey', 'region', 'r_regionkey' where not exists (select 1 from nation where n_regionkey not in (select r_regionkey from region)) union all select 'lineitem', 'l_orderkey', 'orders', 'o_orderkey' where not exists (select 1 from lineitem where l_orderkey not in (select o_orderkey from orders))
+    union all select 'lineitem', 'l_suppkey', 'supplier', 's_suppkey' where not exists (select 1 from lineitem where l_suppkey not in (select s_suppkey from supplier)) union all select 'lineitem', 'l_partkey', 'part', 'p_partkey' where not exists (select 1 from lineitem where l_partkey not in (select p_partkey from part))""")
+def model_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The references that the model builder finds and proves."""
+    t = tables(spark, sf)
+    names = ("orders", "customer", "nation", "region", "supplier", "part", "lineitem")
+    return builder.as_rows(builder.propose({n: t(n) for n in names}), t("region"))
+
+
+@query("""select o_orderkey, cast(cast(o_totalprice as decimal(18, 2)) as varchar) as price, strftime(o_orderdate, '%Y-%m-%d') as day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as at, lower(hex(encode(o_orderpriority))) as raw, o_orderstatus = 'F' as done from orders""")
+def json_safe_rows(spark: SparkSession, sf: str) -> DataFrame:
+    o = tables(spark, sf)("orders")
+    return catalogue.json_safe(o.select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.to_date("o_orderdate").alias("day"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").cast("binary").alias("raw"), (F.col("o_orderstatus") == "F").alias("done")))
+
+
+@query("""select count(*) filter (where x is null) as null_rows, (select count(*) from (select x from (select case when c_nationkey < 3 then null else c_nationkey end as x from customer) group by x having count(*) > 1)) as duplicate_groups from (select case when c_nationkey < 3 then null else c_nationkey end as x from customer)""")
+def contract_unique(spark: SparkSession, sf: str) -> DataFrame:
+    """Several nulls are a group of duplicates."""
+    c = tables(spark, sf)("customer").select(F.when(F.col("c_nationkey") >= 3, F.col("c_nationkey")).alias("x"))
+    return quality.contract_key(c, ["x"]).select(F.col("null_rows").cast("long").alias("null_rows"), "duplicate_groups")
+
+
+@query("""select coalesce(r, 'accepted') as reason, count(*) as n from (select case when c_custkey in (select o_custkey from orders where o_orderstatus = 'P') then 'duplicate' end as r from customer) group by 1""")
+def ingest_published_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose key was published before are duplicates."""
+    t = tables(spark, sf)
+    published = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    judged = ingest.judge_rows(ingest.with_ordinal(t("customer").select("c_custkey")), ingest.Rules(unique=("c_custkey",)), published)
+    return judged.groupBy(F.coalesce(ingest.REASON, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("select cast(max(event_id) as varchar) as watermark from events where event_type <> 'click'")
+def ingest_advance(spark: SparkSession, sf: str) -> DataFrame:
+    """The greatest accepted value as a number: 999 is less than 1000."""
+    e = tables(spark, sf)("events").where("event_type <> 'click'").select(F.col("event_id").cast("string").alias("event_id"))
+    return spark.createDataFrame([(ingest.advance(e, "event_id", "17"),)], "watermark string")

@@ -9,6 +9,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessel.functions.ordered import previous
+
 
 def data_version(spark: SparkSession, path: str) -> str:
     """N-16: one SHA-256 of the sorted (name, SHA-256 of the content) of all files below a path.
@@ -92,12 +94,7 @@ def period_order(df: DataFrame, label: str, position: str, series: list[str] | N
     known = F.col(label).rlike(r"^\d{4}(-(\d{2}(-\d{2})?|Q[1-4]|W\d{2}))?$")
     if series:
         return df.withColumn("previous", F.lag(label).over(Window.partitionBy(*series).orderBy(position))).where(~known | (F.col("previous") >= F.col(label)))
-    # one series over all rows: each range of positions is looked at alone, and knows the last label of the ranges before it
-    d = df.repartitionByRange(position).withColumn("__part", F.spark_partition_id())
-    ends = d.groupBy("__part").agg(F.max_by(label, position).alias("__end"))
-    before = ends.withColumn("__end", F.last("__end", True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))  # as many rows as ranges
-    inside = d.withColumn("previous", F.lag(label).over(Window.partitionBy("__part").orderBy(position))).join(before, "__part")
-    return inside.withColumn("previous", F.coalesce("previous", "__end")).drop("__part", "__end").where(~known | (F.col("previous") >= F.col(label)))
+    return previous(df, position, label, "previous").where(~known | (F.col("previous") >= F.col(label)))
 
 
 __all__ = ["data_version", "header_problems", "import_history", "period_order", "profile_csv", "report_ages", "retire_reports"]
