@@ -28,7 +28,9 @@ BOILERPLATE = {
     "fr": ("tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies", "conditions générales", "aller au contenu"),
     "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "aceptar cookies", "saltar al contenido"),
 }
-PHRASES = "(?iu)" + "|".join(x for own in BOILERPLATE.values() for x in own)
+_ALL = sorted(x for own in BOILERPLATE.values() for x in own)
+#: They are looked for in lower-case text, by first letters, as few places of a text have to be tried in full then.
+PHRASES = "|".join(f"{first}(?:{'|'.join(x[1:] for x in _ALL if x[0] == first)})" for first in sorted({x[0] for x in _ALL}))
 #: A line is boilerplate if such phrases make up this part of it: one in so many characters.
 PART = 8
 
@@ -66,20 +68,26 @@ def repeated_words(words: Column) -> Column:
     return let(windows, repeats)
 
 
-def fails(line: Column, symbols: Column) -> Column:
-    """A line's verdict; lengths are in characters."""
+def phrase_part(low: Column) -> Column:
+    """How many characters of a lower-case line are phrases."""
+    return F.length(low) - F.length(F.regexp_replace(low, PHRASES, ""))
+
+
+def fails(line: Column, symbols: Column, phrases: Column) -> Column:
+    """A line's verdict; lengths are in characters. phrases: whether the text has any phrase."""
     n = F.length(line)
     punctuation = ((symbols >= 3) & (symbols * 10 >= n)) | ((count_of(line, "!") >= 4) & (count_of(line, "!") * 10 >= n))
     separators = count_of(line, SEPARATORS)
     navigation = (separators >= 3) & (separators * 20 >= n)
-    boilerplate = F.when(line.rlike(PHRASES), (n - F.length(F.regexp_replace(line, PHRASES, ""))) * PART >= n).otherwise(False)
+    boilerplate = F.when(phrases, let(phrase_part(F.lower(line)), lambda p: (p > 0) & (p * PART >= n))).otherwise(False)
     return punctuation | navigation | boilerplate
 
 
 def measures(text: Column) -> Column:
     """All measures of a text as one struct."""
     whole = F.coalesce(text, F.lit(""))
-    lines = F.transform(F.split(whole, "\n"), lambda x: let(count_of(x, SYMBOLS), lambda s: F.struct(x.alias("line"), s.alias("symbols"), x.rlike(r"[^\x20\x09-\x0D]").alias("full"), fails(x, s).alias("fails"))))
+    line = lambda x, phrases: let(count_of(x, SYMBOLS), lambda s: F.struct(x.alias("line"), s.alias("symbols"), x.rlike(r"[^\x20\x09-\x0D]").alias("full"), fails(x, s, phrases).alias("fails")))
+    lines = let(F.lower(whole).rlike(PHRASES), lambda phrases: F.transform(F.split(whole, "\n"), lambda x: line(x, phrases)))
 
     def of_lines(ls: Column) -> Column:
         full = F.transform(F.filter(ls, lambda x: x["full"]), lambda x: x["line"])

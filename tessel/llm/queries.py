@@ -99,14 +99,14 @@ ORACLES: dict[str, str] = {
             length(line) - length(replace(line, '!', '')) as bang, length(line) - length(regexp_replace(line, '[|»›•·→]', '', 'g')) as sep
             from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
         failed as (select *, (sym >= 3 and sym * 10 >= n) or (bang >= 4 and bang * 10 >= n) or (sep >= 3 and sep * 20 >= n)
-            or (regexp_matches(line, '(?i)PHRASES') and 8 * (n - length(regexp_replace(line, '(?i)PHRASES', '', 'g'))) >= n) as fails from full_lines),
+            or (regexp_matches(lower(line), 'PHRASES') and 8 * (length(lower(line)) - length(regexp_replace(lower(line), 'PHRASES', '', 'g'))) >= n) as fails from full_lines),
         by_doc as (select doc_id, count(*) - count(distinct line) as dup, sum(n) as chars, coalesce(sum(n) filter (where fails), 0) as lost from failed group by doc_id),
         m as (select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
             coalesce(dup, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(chars, 0) as chars, coalesce(lost, 0) as lost
             from w left join rep using (doc_id) left join by_doc using (doc_id))
         select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
             cast(n_repeat_words as bigint) as n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-            not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost * 2 <= chars as kept from m""".replace("PHRASES", quality.PHRASES.removeprefix("(?iu)")),
+            not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost * 2 <= chars as kept from m""".replace("PHRASES", quality.PHRASES),
     "op5_warc": """
         with p as (select page_id, coalesce(html, '') as html from pages),
         d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha256(html) as payload_digest from p),
