@@ -718,6 +718,83 @@ def test_pipeline_finds_edited_copies(spark):
     assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(parent)
 
 
+@pytest.mark.parametrize("block", [250_000, 300, 40])
+def test_classes_of_large_groups(spark, block, monkeypatch):
+    """One candidate group, dealt to blocks, against all pairs: chains, stars, families below the bound and lone sets."""
+    import numpy as np
+
+    from tessel.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    r = random.Random(3)
+    sets = []
+    for n in (10, 20, 40):
+        base = r.sample(range(10_000), n)
+        for _ in range(12):  # some within the bound of each other, some only through others
+            own = list(base)
+            for at in r.sample(range(n), r.randrange(0, n // 5 + 1)):
+                own[at] = r.randrange(10_000)
+            sets.append(own)
+        chain = list(base)
+        for i in range(8):
+            chain = [*chain[:i], 20_000 + i, *chain[i + 1 :]]
+            sets.append(chain)
+    sets += [r.sample(range(10_000), r.randrange(1, 15)) for _ in range(20)]
+    sets = [np.unique(np.array(x, np.uint64)) for x in sets]
+    own = [set(x.tolist()) for x in sets]
+    parent = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]) and parent[i] != parent[j]:
+                old, new = sorted((parent[i], parent[j]))[::-1]
+                parent = [new if p == old else p for p in parent]
+    members = spark.createDataFrame([(7, i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "component long, node long, shingles binary")
+    got = {x.node: x["class"] for x in nearcopies.exact_classes(members, 0.8).collect()}
+    assert got == dict(enumerate(parent))
+
+
+def test_every_operator_on_hard_tables(spark):
+    """Empty tables, null and repeated ids, null and empty texts, repeated rows, and columns with names that operators use inside."""
+    import corpus_pipeline
+
+    path, pattern = tokenizer()
+    schema = "doc_id long, text string, source string, n_chars int, q string, found string, k1 string, node string, s_text string, redacted string, part string, word string"
+    long = " ".join(f"Word{i} number{i % 7}" for i in range(400)) + "."
+    texts = [None, "", "one", long, long, "\n\n", "token=abcdefghijklmnop " + long]
+    rows = [(i, t, "s", 1, *["x"] * 8) for i in (None, 1) for t in texts]
+    full = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(None, long[:200]), (1, None), (1, "x y z")], "item_id long, text string")
+    queries = {
+        "pack": lambda d: packing.pack(d, path, pattern),
+        "judge": quality.judge, "clean": quality.clean, "score": lambda d: hmm.score(d, states=2, classes=8, passes=1),
+        "words": lambda d: rabin_karp.remove_repeats(d, 35), "bytes": lambda d: suffix.remove_repeats(d, 400),
+        "leaks": lambda d: decontaminate.contaminated(d, bench), "clean of leaks": lambda d: decontaminate.decontaminate(d, bench),
+        "secrets": secrets.scan, "redact": secrets.redact, "classes": simhash.near_classes, "near": lambda d: corpus_pipeline.near_duplicates(spark, d, ""),
+    }
+    one_row_each = {"judge", "score", "words", "bytes", "secrets", "redact", "classes"}
+    for name, q in queries.items():
+        assert q(full.limit(0)).count() == 0, name
+        out = q(full).collect()
+        assert name not in one_row_each or len(out) == len(rows), name
+        if name in ("clean", "redact", "clean of leaks", "near"):
+            assert q(full).columns == full.columns and all(r.q == r.found == r.k1 == r.node == r.s_text == r.redacted == r.part == r.word == "x" for r in out), name
+    assert sorted(r.doc_id is None for r in quality.clean(full).collect()) == [False] * 3 + [True] * 3
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(full, bench).collect()} == {(None, None), (1, None)}
+    turns = spark.createDataFrame([(None, None, None, None), (1, 0, "user", ""), (1, 0, "user", "")], "conv_id long, turn long, role string, text string")
+    assert chat.format_chat(turns.limit(0)).count() == 0 and chat.digests(chat.format_chat(turns.limit(0))).count() == 0
+    assert {r.conv_id: r.n_turns for r in chat.digests(chat.format_chat(turns)).collect()} == {None: 1, 1: 2}
+
+
+def test_pipeline_on_empty_and_hard_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("empty", []), ("hard", [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        assert corpus_pipeline.run(spark, str(folder)).count() == 0
+
+
 def test_pipeline_near_copies_handle_null_and_repeated_ids(spark):
     from tessel.llm.nearcopies import keep_one
 
