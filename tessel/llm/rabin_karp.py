@@ -24,6 +24,8 @@ from tessel.llm.common import Rolling, Rows, as_bytes, mix, slices
 from tessel.llm.repeats import NO_RUNS, Runs, candidates, intervals, keyed, least_grams, runs_of
 
 GRAM = 8
+#: Runs of a bucket: some 300,000 windows, 8 MB.
+RUNS = 20_000
 MESSAGE = "bucket int, high binary, low binary, doc binary, at binary, keys binary"
 REPLY = "k1 long, k2 long, at binary"
 RESULT = "k1 long, k2 long, n_removed long, kept_sha256 string, spans array<long>"
@@ -144,7 +146,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     spark = docs.sparkSession
     d = keyed(docs)
     work = candidates(d.select("k1", "k2", "text"), lambda: seeder(window))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket is held whole: it gets about RUNS runs of windows, however many there are
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(work.agg(F.sum(F.size("runs"))).first()[0] or 0) // RUNS))
     sent = work.select("k1", "k2", "text", "copies", "runs", "wide").mapInArrow(send(window, buckets), MESSAGE)
     replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, REPLY)
     places = replies.groupBy("k1", "k2").agg(F.collect_list("at").alias("at"))
