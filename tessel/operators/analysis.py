@@ -190,13 +190,21 @@ def anomalies(series: DataFrame, label: str, value: str, method: str = "robust",
     return d.select("label", "value", (F.col("center") + F.col("adjustment")).alias("expected"), score.alias("score"), ((F.abs(score) >= threshold) & ~F.col("filled") & (state == "ok")).alias("is_anomaly"), state.alias("state"))
 
 
-def reconcile(cells: DataFrame, totals: DataFrame, period: str, value: str, total: str) -> DataFrame:
-    """T-07: sums of category cells against independently made totals, by period."""
+def reconcile(cells: DataFrame, totals: DataFrame, period: str, value: str, total: str, complete: bool = True, category: str | None = None) -> DataFrame:
+    """T-07: sums of category cells against independently made totals, for every period of either. A missing side counts as zero only if the input covers it whole; else the period isn't reconciled.
+
+    Cut input is refused, and with a category so are repeated cells.
+    """
+    cells = untruncated(cells)
+    if category and not cells.groupBy(period, category).count().where("count > 1").isEmpty():
+        raise AnalysisError("duplicate_cells: a category occurs twice in a period")
     sums = cells.groupBy(F.col(period).alias("period")).agg(F.sum(F.col(value)).alias("cells"), F.count("*").alias("n"))
     t = totals.select(F.col(period).alias("period"), F.col(total).alias("total"))
     out = sums.join(t, "period", "full")
-    gap = F.col("cells") - F.col("total")
-    ok = F.coalesce(F.abs(gap) <= F.greatest(F.lit(1e-9), F.abs(F.col("total")) * 1e-9), F.lit(False))
+    known = F.col("cells").isNotNull() & F.col("total").isNotNull()
+    side = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if complete else F.col(c)
+    gap = side("cells") - side("total")
+    ok = F.coalesce(F.abs(gap) <= F.greatest(F.lit(1e-9), F.abs(side("total")) * 1e-9), F.lit(False)) & (known | F.lit(complete))
     return out.select("period", "cells", "total", gap.alias("residual"), ok.alias("reconciled"))
 
 

@@ -57,6 +57,51 @@ def referential(df: DataFrame, column: str, parent: DataFrame, key: str) -> Data
     return orphans.agg(F.count("*").alias("orphans"), F.countDistinct("k").alias("orphan_keys")).withColumn("status", F.when(F.col("orphans") > 0, "error").otherwise("ok"))
 
 
+def local_column(columns: list[str], parent: str, key: str, declared: dict[str, str] | None = None) -> str | None:
+    """Q-06: the column that refers to a parent's key: as declared, else the key's own name, else <parent>_<key>, <parent>_id or a name that ends in the key's."""
+    if declared and parent in declared:
+        return declared[parent]
+    one = parent.rstrip("s")
+    for name in (key, f"{one}_{key}", f"{parent}_{key}", f"{one}_id", f"{parent}_id"):
+        if name in columns:
+            return name
+    ends = [c for c in columns if c.split("_", 1)[-1] == key.split("_", 1)[-1]]
+    return ends[0] if len(ends) == 1 else None
+
+
+def path_references(model, tables, start: str, end: str) -> DataFrame:  # noqa: ANN001
+    """Q-13: the referential check of every step of a join path, with `step` child.column>parent.key."""
+    checks = []
+    for s in model.path(start, end):
+        child, parent = model.entities[s.left].table, model.entities[s.right].table
+        checks.append(referential(tables(child), s.left_column, tables(parent), s.right_column).select(F.lit(f"{child}.{s.left_column}>{parent}.{s.right_column}").alias("step"), "orphans", "orphan_keys", "status"))
+    return reduce(DataFrame.unionByName, checks)
+
+
+def proven_join(model, tables, start: str, end: str) -> DataFrame:  # noqa: ANN001
+    """J-19: before a compiled join runs, the grain of its source and the uniqueness of every target column: one row each, and a join is safe if none has duplicates."""
+    source = model.entities[start]
+    checks = [grain_unique(tables(source.table), list(source.primary_key)).withColumn("target", F.lit(source.table))]
+    checks += [grain_unique(tables(model.entities[s.right].table), [s.right_column]).withColumn("target", F.lit(f"{model.entities[s.right].table}.{s.right_column}")) for s in model.path(start, end)]
+    return reduce(DataFrame.unionByName, checks).select("target", "duplicate_groups", "null_rows", "total", "status")
+
+
+def snapshot(model) -> dict[str, dict[str, str]]:  # noqa: ANN001
+    """Q-16: a hash of each entity, metric, relationship and path, by section, for `drift`."""
+    import hashlib
+
+    from tessel.plans.builder import paths
+
+    h = lambda x: hashlib.sha256(repr(x).encode()).hexdigest()
+    frozen = lambda e: [(f, sorted(v) if isinstance(v, (set, frozenset)) else sorted(v.items()) if isinstance(v, dict) else v) for f, v in sorted(vars(e).items())]
+    return {
+        "entities": {n: h(frozen(e)) for n, e in model.entities.items()},
+        "metrics": {n: h(frozen(m)) for n, m in model.metrics.items()},
+        "relationships": {f"{r.left}.{r.left_column}>{r.right}.{r.right_column}": h(r.cardinality) for r in model.relationships},
+        "paths": {f"{a}>{b}": h(n) for a, b, n in paths(model)},
+    }
+
+
 def schema_drift(df: DataFrame, expected: list[str], additive: bool = True) -> dict:
     """Q-08."""
     missing, extra = sorted(set(expected) - set(df.columns)), sorted(set(df.columns) - set(expected))

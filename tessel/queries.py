@@ -12,7 +12,7 @@ from tessel.functions import calendar
 from tessel.functions.ordered import range_join
 from tessel.operators import analysis, catalogue, quality, retrieval
 from tessel.plans.model import Entity, Metric, Model, Relationship
-from tessel.plans import builder, questions
+from tessel.plans import builder, predicates, questions
 from tessel.plans.planner import Request, compile_comparison, compile_request
 from tessel.sources import ingest, upkeep
 
@@ -657,3 +657,29 @@ def ingest_advance(spark: SparkSession, sf: str) -> DataFrame:
     """The greatest accepted value as a number: 999 is less than 1000."""
     e = tables(spark, sf)("events").where("event_type <> 'click'").select(F.col("event_id").cast("string").alias("event_id"))
     return spark.createDataFrame([(ingest.advance(e, "event_id", "17"),)], "watermark string")
+
+
+@query("""select 'lineitem.l_orderkey>orders.o_orderkey' as step, count(*) filter (where l_orderkey not in (select o_orderkey from orders)) as orphans, count(distinct l_orderkey) filter (where l_orderkey not in (select o_orderkey from orders)) as orphan_keys, case when count(*) filter (where l_orderkey not in (select o_orderkey from orders)) > 0 then 'error' else 'ok' end as status from lineitem
+    union all select 'orders.o_custkey>customer.c_custkey', count(*) filter (where o_custkey not in (select c_custkey from customer)), count(distinct o_custkey) filter (where o_custkey not in (select c_custkey from customer)), case when count(*) filter (where o_custkey not in (select c_custkey from customer)) > 0 then 'error' else 'ok' end from orders""")
+def contract_path_references(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.path_references(MODEL, tables(spark, sf), "line", "customer")
+
+
+@query("""select 'orders' as target, cast(0 as bigint) as duplicate_groups, cast(0 as bigint) as null_rows, count(*) as total, 'ok' as status from orders union all select 'customer.c_custkey', 0, 0, count(*), 'ok' from customer union all select 'nation.n_nationkey', 0, 0, count(*), 'ok' from nation""")
+def join_targets_proven(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.proven_join(MODEL, tables(spark, sf), "order", "nation")
+
+
+@query("select count(*) filter (where cast(ts as varchar) >= '2024-01-05' and cast(ts as varchar) <= '2024-01-08') as raw, count(*) filter (where cast(ts as date) between date '2024-01-05' and date '2024-01-08') as days from events")
+def window_raw_and_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Textual bounds leave out the last day; calendar days keep it."""
+    e = tables(spark, sf)("events")
+    return e.agg(F.count_if(predicates.window(F.col("ts"), "2024-01-05", "2024-01-08", "raw")).alias("raw"), F.count_if(predicates.window(F.col("ts"), "2024-01-05", "2024-01-08")).alias("days"))
+
+
+@query("""select '{"a":' || cast(o_custkey as varchar) || ',"m":{"k":"' || o_orderstatus || '","z":1},"z":[' || cast(o_orderkey as varchar) || ']}' as "nested", cast(o_orderkey as varchar) as order_key from orders""")
+def ingest_nested_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested values as JSON with sorted keys, and a column by its alias."""
+    o = tables(spark, sf)("orders")
+    nested = F.struct(F.array("o_orderkey").alias("z"), F.col("o_custkey").alias("a"), F.struct(F.lit(1).alias("z"), F.col("o_orderstatus").alias("k")).alias("m"))
+    return ingest.normalise(o.select(nested.alias("Nested"), F.col("o_orderkey").alias("Order No")), {"order_no": "order_key"})

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.scalars import INTEGER, REAL, as_integer, as_real, clean_text, identifiers, mixed_less
+from tessel.functions.scalars import INTEGER, REAL, as_integer, as_real, clean_text, identifier, identifiers, mixed_less, sorted_json
 
 ORDINAL, REASON = "__ordinal", "__reason"
 
@@ -20,11 +20,12 @@ class Rules:
     max_invalid: float = 1.0
 
 
-def normalise(df: DataFrame) -> DataFrame:
-    """N-01, N-02: safe names, trimmed text, empty as null; nested values as JSON text."""
-    nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")}
-    out = df.select(*(F.to_json(F.col(f"`{c}`")).alias(n) if c in nested else clean_text(F.col(f"`{c}`")).alias(n) for c, n in zip(df.columns, identifiers(df.columns))))
-    return out
+def normalise(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """N-01, N-02: safe names, trimmed text, empty as null; nested values as JSON text with sorted keys. aliases: from a source's name, as it is or made safe, to the column's."""
+    aliases = aliases or {}
+    nested = {f.name: f.dataType for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")}
+    called = [aliases.get(c, aliases.get(identifier(c), c)) for c in df.columns]
+    return df.select(*(sorted_json(F.col(f"`{c}`"), nested[c]).alias(n) if c in nested else clean_text(F.col(f"`{c}`")).alias(n) for c, n in zip(df.columns, identifiers(called))))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -82,9 +83,12 @@ def advance(accepted: DataFrame, column: str, stored: str | None) -> str | None:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """N-14, S-28: rows, nulls and distinct values of each column, exact, in one pass each way."""
-    parts = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.countDistinct(c).alias("distinct")) for c in df.columns]
-    return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    """N-14: rows, nulls and distinct values of each column, exact: one pass for counts, and the distinct values of all columns as (column, value) pairs that are reduced before they are shuffled."""
+    parts = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls")) for c in df.columns]
+    counts = df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns))).alias("p")).select("p.*")
+    distinct = pairs.where("v is not null").distinct().groupBy("column").agg(F.count("*").alias("distinct"))
+    return counts.join(distinct, "column", "left").select("column", "rows", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def scaffold(df: DataFrame) -> dict:
