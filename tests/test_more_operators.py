@@ -216,3 +216,43 @@ def test_routing(tmp_path):
 def test_relationships_with_roles():
     m = Model({"a": Entity("a", "t"  , ("i",)), "b": Entity("b", "t", ("i",))}, [Relationship("a", "p", "b", "i")], {})
     assert [x.right for x in m.path("a", "b")] == ["b"]
+
+
+def test_replans_budgets_and_journal(spark, tmp_path):
+    from tessel.plans.executor import Budget, Journal, PlanError, Step, execute
+
+    ran = []
+
+    def act(*up, name="x", rows=0):
+        ran.append(name)
+        if name.startswith("bad"):
+            raise RuntimeError(name)
+        return {"row_count": rows, "name": name}
+
+    swap = lambda s, error: Step(s.id, s.action, s.needs, (("name", f"{dict(s.args)['name'][3:]}"),))
+    run = execute([Step("a", "act", (), (("name", "badbadgood"),)), Step("b", "act", ("a",), (("name", "end"),))], {"act": act}, replan=swap)
+    assert ran == ["badbadgood", "badgood", "good", "end"] and run.states == {"a": "done", "b": "done"}
+    run = execute([Step("a", "act", (), (("name", "badbadbadgood"),)), Step("b", "act", ("a",))], {"act": act}, replan=swap)
+    assert run.states == {"a": "failed", "b": "skipped"}
+    with pytest.raises(PlanError, match="rows"):
+        execute([Step("a", "act", (), (("rows", 11),))], {"act": act}, Budget(rows=10))
+    with pytest.raises(PlanError, match="bytes"):
+        execute([Step("a", "big")], {"big": lambda: {"bytes": 3}}, Budget(bytes=2))
+    ran.clear()
+    journal = Journal(spark, str(tmp_path / "j"))
+    plan = [Step("a", "act", (), (("name", "one"),)), Step("b", "act", ("a",), (("name", "two"),), side_effect=True)]
+    assert set(execute(plan, {"act": act}, journal=journal).states.values()) == {"done"}
+    again = execute(plan, {"act": act}, journal=Journal(spark, str(tmp_path / "j")))
+    assert set(again.states.values()) == {"reused"} and again.results["b"]["name"] == "two" and ran == ["one", "two"]
+    keys = {s.id: k for s, k in zip(plan, _prints(plan))}
+    for done in (tmp_path / "j").glob("*.done"):
+        done.unlink()  # begun by a run that was killed
+    assert execute(plan, {"act": act}, journal=journal).states == {"a": "held", "b": "skipped"}
+    late = Journal(spark, str(tmp_path / "j"), lease=-1)
+    assert execute(plan, {"act": act}, journal=late).states == {"a": "done", "b": "uncertain"} and ran == ["one", "two", "one"]
+    assert late.get(keys["a"])[0] and not late.get(keys["b"])[0]
+
+
+def _prints(plan):
+    first = plan[0].fingerprint({}, [])
+    return first, plan[1].fingerprint({}, [first])
