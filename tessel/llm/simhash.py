@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rows, arrow_schema, as_bytes, components, stage
+from tessel.llm.common import Rows, arrow_schema, as_bytes, components, small, stage
 
 #: Widths of the six blocks of a fingerprint. Two differing bits spare at least four blocks, so every close pair
 #: shares one of the 15 choices of four; what is free then is at most 22 bits, which bounds a bucket to 2**22 fingerprints.
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fps = np.array([fingerprint(t, words) for t in as_bytes(b.column(1))], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(fps), *b.columns[2:]], schema=schema)
 
