@@ -196,7 +196,7 @@ def reconcile(cells: DataFrame, totals: DataFrame, period: str, value: str, tota
     Cut input is refused, and with a category so are repeated cells.
     """
     cells = untruncated(cells)
-    if category and not cells.groupBy(period, category).count().where("count > 1").isEmpty():
+    if category and not cells.groupBy(F.col(f"`{period}`"), F.col(f"`{category}`")).count().where("count > 1").isEmpty():
         raise AnalysisError("duplicate_cells: a category occurs twice in a period")
     sums = cells.groupBy(F.col(period).alias("period")).agg(F.sum(F.col(value)).alias("cells"), F.count("*").alias("n"))
     t = totals.select(F.col(period).alias("period"), F.col(total).alias("total"))
@@ -237,6 +237,13 @@ def telemetry(spans: DataFrame, kind: str, start: str, end: str) -> DataFrame:
     return spans.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.sum(took).alias("total"), F.max(took).alias("longest"), (F.max(end) - F.min(start)).alias("window"))
 
 
+def tokens_by_model(spans: DataFrame, model: str, tokens: list[str]) -> DataFrame:
+    """G-22: calls and tokens of each kind by model, and their sum; spans without a model aren't calls."""
+    parts = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in tokens]
+    out = spans.where(F.col(model).isNotNull()).groupBy(F.col(model).alias("model")).agg(F.count("*").alias("calls"), *parts)
+    return out.withColumn("total", reduce(lambda a, b: a + b, (F.col(c) for c in tokens)))
+
+
 def chart(columns: list[str], kinds: dict[str, str], rows: list[dict], additive: bool = True, most: int = 8) -> dict:
     """T-06 and T-11: line, bar, metric or table with the named reason, by ordered rules over a bounded result."""
     numbers = [c for c in columns if kinds.get(c) in ("integer", "float", "decimal")]

@@ -168,9 +168,20 @@ def columns_outside(spark: SparkSession, sql: str, policy: Policy) -> list[str]:
     return [f"column_scope {t}.{c}" for t, cs in sorted(columns_read(spark, sql).items()) for c in sorted(cs) if policy.tables.get(t) is not None and c not in policy.tables[t]]
 
 
-def run(spark: SparkSession, sql: str, policy: Policy, bound: int = 10_000, deadline: float | None = None) -> dict:
-    """S-18, S-20: policy, then at most `bound` rows with truncation evidence; a deadline interrupts the statement's own jobs."""
-    if found := judge(spark, sql, policy):
+def unknown_objects(spark: SparkSession, sql: str) -> list[str]:
+    """Tables of a statement that don't exist; names of its CTEs are its own."""
+    every = list(nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)))
+    ctes = {pair._1() for n in every if kind(n) == "UnresolvedWith" for pair in _each(n.cteRelations())}
+    names = {".".join(_each(n.multipartIdentifier())) for n in every if kind(n) == "UnresolvedRelation"} - ctes
+    return [f"unknown_object {n}" for n in sorted(names) if not spark.catalog.tableExists(n)]
+
+
+def run(spark: SparkSession, sql: str, policy: Policy, bound: int = 10_000, deadline: float | None = None, capability=None) -> dict:  # noqa: ANN001
+    """S-18, S-20: the backend's capability (see catalogue.Capability), the policy, the objects, then at most `bound` rows with truncation evidence; a deadline interrupts the statement's own jobs."""
+    bound = min(bound, 10_000)
+    if capability is not None:
+        capability.require(sql)
+    if found := judge(spark, sql, policy) or unknown_objects(spark, sql):
         raise PolicyError("; ".join(found))
     df = spark.sql(sql)
     tag = f"tessel-{threading.get_ident()}-{id(df)}"

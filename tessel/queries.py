@@ -683,3 +683,18 @@ def ingest_nested_json(spark: SparkSession, sf: str) -> DataFrame:
     o = tables(spark, sf)("orders")
     nested = F.struct(F.array("o_orderkey").alias("z"), F.col("o_custkey").alias("a"), F.struct(F.lit(1).alias("z"), F.col("o_orderstatus").alias("k")).alias("m"))
     return ingest.normalise(o.select(nested.alias("Nested"), F.col("o_orderkey").alias("Order No")), {"order_no": "order_key"})
+
+
+@query("select role as model, count(*) as calls, cast(sum(length(coalesce(text, ''))) as bigint) as chars, cast(sum(turn) as bigint) as turns, cast(sum(length(coalesce(text, ''))) + sum(turn) as bigint) as total from conversations where role is not null group by 1")
+def telemetry_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    c = tables(spark, sf)("conversations").select("role", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.col("turn").alias("turns"))
+    return analysis.tokens_by_model(c, "role", ["chars", "turns"])
+
+
+@query("""with m as (select o_orderpriority as p, strftime(o_orderdate, '%Y-%m') as period, sum(o_totalprice) as v from orders group by 1, 2), t as (select strftime(o_orderdate, '%Y-%m') as period, sum(o_totalprice) as total from orders where o_orderdate < timestamp '2001-06-01' group by 1), c as (select period, sum(v) as cells from m group by 1)
+    select coalesce(c.period, t.period) as period, round(cells, 2) as cells, round(total, 2) as total, t.total is not null as reconciled from c full join t on c.period = t.period""")
+def reconcile_incomplete(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals lack the last months, so those aren't reconciled: a missing side is no zero here."""
+    cells = compile_request(MODEL, tables(spark, sf), Request(("order_value",), dimensions=("order.priority",), grain="monthly"))
+    totals = compile_request(MODEL, tables(spark, sf), Request(("order_value",), grain="monthly", ranges=((date(1995, 1, 1), date(2001, 5, 31)),)))
+    return analysis.reconcile(cells, totals, "period", "order_value", "order_value", complete=False, category="order.priority").select("period", r2("cells"), r2("total"), "reconciled")

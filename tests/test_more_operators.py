@@ -158,6 +158,21 @@ def test_catalogue(spark):
         c.CAPABILITIES["spark"].require("select 1 qualify row_number() over (order by 1) = 1")
 
 
+def test_bounded_runs_need_capability_and_objects(spark):
+    from tessel.operators.governance import run
+
+    spark.range(5).createOrReplaceTempView("five")
+    try:
+        out = run(spark, "select id from five", Policy(), bound=3)
+        assert (out["row_count"], out["truncated"], out["fetched_row_count"]) == (3, True, 4)
+        with pytest.raises(PolicyError, match="unknown_object nowhere"):
+            run(spark, "with x as (select 1 as a) select * from x join nowhere on true", Policy(allow_cross_join=True))
+        with pytest.raises(PolicyError, match="unsupported ilike"):
+            run(spark, "select id from five where cast(id as string) ilike '1'", Policy(), capability=c.CAPABILITIES["sqlite"])
+    finally:
+        spark.catalog.dropTempView("five")
+
+
 def test_builder(spark):
     tables = {
         "users": spark.createDataFrame([(i, f"n{i}", f"m{i}@x.org") for i in range(5)], "user_id int, name string, email string"),
