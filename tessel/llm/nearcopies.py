@@ -1,14 +1,16 @@
-"""Near copies by word shingles: MinHash bands find candidates, exact Jaccard similarity of the shingle sets decides.
+"""Near copies by SimHash of word shingles: blocks of fingerprints find candidates, exact Jaccard similarity of the shingle sets decides.
 
-A text's set holds the hashes of its five-word shingles (a shorter text is one shingle). Texts that share a band are
-candidates; star links within bands give candidate groups, and each group's sets are then compared exactly by
-a search that compares a member only with those not reached yet. Classes are the connected components at the given similarity.
+A text's set holds the hashes of its five-word shingles (a shorter text is one shingle). Its fingerprint has 512 bits. A
+fixed permutation deals the bits to 32 blocks of 16, and texts that agree on a block are compared by the Hamming distance of
+the fingerprint's first 128 bits; there are DEALS permutations. Texts that differ in at most 31 of 512 bits share a block of each
+(the pigeonhole principle); texts at similarity 0.8 differ in 15 % of their bits (a cosine of 0.89) and share one of all blocks with the
+probability that the README states. Links of at most NEAR bits give candidate groups, and each group's sets are compared
+exactly by a search that compares a member only with those not reached yet. Classes are the connected components at the given similarity.
 
 A group of over BLOCK shingles is dealt to blocks, so no task holds more than two blocks. Classes are found in each block; then
-their representatives are compared, block by block; and of two classes whose representatives aren't similar all members are compared only
-if the distances allow a link at all: Jaccard distance is a metric, so with radii a and b there is none beyond a + b + 1 - similarity.
-
-A pair at exactly 0.8 shares none of 32 bands of 6 values with probability (1 - 0.8**6)**32 = 0.00006, and closer pairs with less.
+their representatives are compared, block by block; and the members of two classes whose representatives aren't similar are compared
+only if the distances allow a link at all: Jaccard distance is a metric, so with radii a and b there is none beyond a + b + 1 - similarity.
+Members are sent once for each other block that one is asked about, not for each other class.
 
 Defined cases: texts with equal sets are copies; null and empty texts are copies of each other; an empty table gives an
 empty result; null and repeated ids are as in simhash.keep_one.
@@ -23,14 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Rolling, Rows, as_bytes, components, slices, stage
+from tessel.llm.common import Rolling, Rows, as_bytes, components, mix, slices, stage
 from tessel.llm.simhash import keep_least, row_key
 
-BANDS, DEPTH = 32, 6
-#: Shingles of a block: 2 MB.
+#: Bits of a fingerprint and of a block; permutations of the bits.
+BITS, WIDTH, DEALS = 512, 16, 4
+#: Greatest distance of a candidate pair in 128 bits: at similarity 0.8 the mean is 19.4, 36 is four deviations above.
+NEAR = 36
+#: Shingles of a block of sets: 2 MB.
 BLOCK = 250_000
-SKETCH = "doc_id long, more long, node long, bands array<long>"
-_RANDOM = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * DEPTH), np.uint32)
+SKETCH = "doc_id long, more long, node long, print binary"
+_RANDOM = np.random.default_rng(11)
+_SALTS = _RANDOM.integers(0, 1 << 64, BITS // 64, np.uint64)
+_TABLES = np.concatenate([_RANDOM.permutation(BITS).reshape(-1, WIDTH) for _ in range(DEALS)])
+#: What a block's bucket knows of a text.
+ENTRY = np.dtype([("key", "<u2"), ("node", "<i8"), ("a", "<u8"), ("b", "<u8")])
 
 
 class Shingles(dict):
@@ -59,27 +68,27 @@ def node(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if len(own) else 0
 
 
-def bands(own: np.ndarray) -> list[int]:
-    import xxhash
-
+def simhash(own: np.ndarray) -> bytes:
+    """The fingerprint of a set of shingles: a bit is 1 where over half of their hashes have it; nothing for the empty set."""
     if not len(own):
-        return []
-    low, (a, b) = own.astype(np.uint32), _RANDOM
-    least = np.full(BANDS * DEPTH, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 512):
-        np.minimum(least, (low[at : at + 512, None] * (a | np.uint32(1)) + b).min(0), out=least)
-    return np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in least.reshape(BANDS, DEPTH)], np.uint64).view(np.int64).tolist()
+        return b""
+    ones, each = np.zeros(BITS, np.int64), np.arange(8, dtype=np.uint64)[:, None]
+    for at in range(0, len(own), 4080):
+        h = mix(own[at : at + 4080, None] ^ _SALTS)
+        lanes = h[:, None, :] >> each & np.uint64(0x0101010101010101)  # a byte for every eighth bit, so 255 rows fit
+        ones += np.add.reduceat(lanes, np.arange(0, len(h), 255)).view(np.uint8).reshape(-1, BITS).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(own)).tobytes()
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, more, node, bands) of every row; more is the text's hash."""
+    """(doc_id, more, node, print) of every row; more is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, shingles = Rows(SKETCH), Shingles(words)
         for b in slices(batches):
             for doc, more, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 own = shingles.of(text)
-                if rows.add(doc, more, node(own), bands(own)):
+                if rows.add(doc, more, node(own), simhash(own)):
                     yield from rows.take()
         yield from rows.take()
 
@@ -111,13 +120,31 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
-def overlaps(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """The Jaccard similarity of a set with each of others; all are sorted and none is empty."""
-    sizes = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
-    both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
-    return both / (len(one) + sizes - both)
+class Sets:
+    """Sorted sets, none empty, to compare others with."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes, self.every = np.array([len(s) for s in sets]), np.concatenate(sets)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def overlaps(self, one: np.ndarray) -> np.ndarray:
+        """The Jaccard similarity of a sorted set with each."""
+        hit = one[np.minimum(np.searchsorted(one, self.every), len(one) - 1)] == self.every
+        both = np.add.reduceat(hit, self.begin, dtype=np.int64)
+        return both / (len(one) + self.sizes - both)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that links a, b reach from each of n: least labels spread along links, with shortcuts."""
+    root = np.arange(n)
+    while len(a):
+        before, low = root.copy(), np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (before == root).all():
+            break
+    return root
 
 
 def sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -125,7 +152,7 @@ def sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def block_classes(similarity: float):  # noqa: ANN201
-    """Groups (component, block) to (component, node, class, radius, middle): class is the least node, radius the greatest distance of its members from that, middle its shingles, on its own row and in large groups only."""
+    """Groups (component, block) to (component, block, node, class, radius, middle): class is the least node, radius the greatest distance of its members from that, middle its shingles, on its own row and in large groups only."""
 
     def run(group: pa.Table) -> pa.Table:
         nodes, sets = group.column("node").to_numpy(), sets_of(group.column("shingles"))
@@ -136,45 +163,54 @@ def block_classes(similarity: float):  # noqa: ANN201
         for c in np.nonzero(np.bincount(label) > 1)[0]:
             own = np.nonzero(label == c)[0]
             middle = sets[own[np.argmin(nodes[own])]]
-            radius[c] = 1 - overlaps(middle, [sets[i] for i in own]).min()
+            radius[c] = 1 - Sets([sets[i] for i in own]).overlaps(middle).min()
         large = group.column("large")[0].as_py()
         middles = [sets[i].tobytes() if large and nodes[i] == least[label[i]] else None for i in range(len(nodes))]
-        return pa.table({"component": group.column("component"), "node": nodes, "class": least[label], "radius": radius[label], "middle": pa.array(middles, pa.binary())})
+        return pa.table({"component": group.column("component"), "block": group.column("block"), "node": nodes, "class": least[label], "radius": radius[label], "middle": pa.array(middles, pa.binary())})
 
     return run
 
 
 def block_pairs(similarity: float):  # noqa: ANN201
-    """Groups (component, i, j) of representatives to (u, v, linked): similar ones, and those whose classes may be linked by other members."""
+    """Groups (component, i, j) of representatives to links (u, v), and to rows (u, null, own, low, high): members of class u, of block own, may be linked to a class of the other of the blocks low and high."""
 
     def run(group: pa.Table) -> pa.Table:
-        nodes, radius, block, sets = group.column("node").to_numpy(), group.column("radius").to_numpy(), group.column("own").to_numpy(), sets_of(group.column("shingles"))
+        nodes, radius, own, block, sets = *(group.column(c).to_numpy() for c in ("node", "radius", "own", "block")), sets_of(group.column("shingles"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
-        u, v, linked = [], [], []
-        for n, x in enumerate(left):
-            others = right[n + 1 :] if i == j else right
-            if len(others):
-                s = overlaps(sets[x], [sets[y] for y in others])
-                near = s >= similarity - 1e-9
-                own = near | (1 - s <= radius[x] + radius[others] + 1 - similarity + 1e-9) & (radius[x] + radius[others] > 0)
-                u += [int(nodes[x])] * int(own.sum())
-                v += nodes[others[own]].tolist()
-                linked += near[own].tolist()
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+        left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        a, b, maybe = [], [], []
+        every = Sets([sets[y] for y in right]) if len(left) and len(right) else None
+        for x in left if every else []:
+            s = every.overlaps(sets[x])
+            apart = block[right] != block[x]  # classes of one block are known to be apart
+            near = apart & (s >= similarity - 1e-9)
+            a.append(np.full(near.sum(), x))
+            b.append(right[near])
+            maybe.append(apart & ~near & (1 - s <= radius[x] + radius[right] + 1 - similarity + 1e-9) & (radius[x] + radius[right] > 0))
+        root = roots(len(nodes), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(nodes))
+        linked = np.nonzero(root != np.arange(len(nodes)))[0]
+        asked = set()
+        for x, hit in zip(left, maybe):
+            for y in right[hit & (root[right] != root[x])].tolist():
+                low, high = sorted((int(block[x]), int(block[y])))
+                asked |= {(int(nodes[x]), int(block[x]), low, high), (int(nodes[y]), int(block[y]), low, high)}
+        u, _, low, high = ([k[n] for k in sorted(asked)] for n in range(4))
+        none = [None] * len(linked)
+        return pa.table({"component": pa.array([group.column("component")[0].as_py()] * (len(linked) + len(u)), pa.int64()), "u": pa.array(nodes[linked].tolist() + u, pa.int64()), "v": pa.array(nodes[root[linked]].tolist() + [None] * len(u), pa.int64()), "low": pa.array(none + low, pa.int64()), "high": pa.array(none + high, pa.int64())})
 
     return run
 
 
-def member_link(similarity: float):  # noqa: ANN201
-    """Groups (u, v) of the members of two classes to (u, v), if any two of different classes are similar."""
+def member_links(similarity: float):  # noqa: ANN201
+    """Groups (component, low, high) of members of two blocks' classes to links (u, v) of these classes."""
 
     def run(group: pa.Table) -> pa.Table:
-        own, sets = group.column("class").to_numpy(), sets_of(group.column("shingles"))
-        u, v = group.column("u")[0].as_py(), group.column("v")[0].as_py()
-        left, right = [s for s, c in zip(sets, own) if c == u], [s for s, c in zip(sets, own) if c == v]
-        found = any((overlaps(x, right) >= similarity - 1e-9).any() for x in left)
-        return pa.table({"u": pa.array([u] * found, pa.int64()), "v": pa.array([v] * found, pa.int64())})
+        own, label = group.column("class").to_numpy(), similar(sets_of(group.column("shingles")), similarity)
+        least = np.full(label.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, label, own)
+        links = np.unique(np.stack([own, least[label]]), axis=1)
+        links = links[:, links[0] != links[1]]
+        return pa.table({"u": links[0], "v": links[1]})
 
     return run
 
@@ -183,42 +219,109 @@ def exact_classes(members: DataFrame, similarity: float) -> DataFrame:
     """Staged (node, class) of staged members(component, node, shingles): the classes in each candidate group."""
     # few rows, so members aren't shuffled to meet them
     sizes = stage(members.groupBy("component").agg(F.sum(F.octet_length("shingles") / 8).alias("words")).where(F.col("words") > BLOCK), "sizes")
-    block = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("words") / BLOCK)), F.lit(0))
+    block = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("words") / BLOCK)), F.lit(0)).cast("long")
     dealt = members.join(sizes, "component", "left").select("component", block.alias("block"), "node", "shingles", F.col("words").isNotNull().alias("large"))
-    found = stage(dealt.groupBy("component", "block").applyInArrow(block_classes(similarity), "component long, node long, class long, radius double, middle binary"), "blocks")
-    middles = found.where("middle is not null").select("component", "node", "radius", F.col("middle").alias("shingles"))
+    found = stage(dealt.groupBy("component", "block").applyInArrow(block_classes(similarity), "component long, block long, node long, class long, radius double, middle binary"), "blocks")
+    middles = found.where("middle is not null").select("component", "block", "node", "radius", F.col("middle").alias("shingles"))
     if middles.isEmpty():
         return found.select("node", "class")
     own = middles.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / BLOCK).cast("int").alias("n"))
     spread = middles.join(own, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    tasks = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "radius", "shingles")
-    pairs = stage(tasks.groupBy("component", "i", "j").applyInArrow(block_pairs(similarity), "u long, v long, linked boolean"), "pairs")
-    links = pairs.where("linked").select("u", "v")
-    known = stage(components(links), "linked")
-    same = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_is"))
-    open_ = pairs.where("not linked").join(same("u"), "u", "left").join(same("v"), "v", "left").where("u_is is null or v_is is null or u_is != v_is").select("u", "v").distinct()
-    sides = open_.select("u", "v", F.col("u").alias("class")).unionByName(open_.select("u", "v", F.col("v").alias("class")))
-    asked = stage(found.select("node", "class").join(sides, "class"), "asked")
+    tasks = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "block", "node", "radius", "shingles")
+    pairs = stage(tasks.groupBy("component", "i", "j").applyInArrow(block_pairs(similarity), "component long, u long, v long, low long, high long"), "pairs")
+    links = pairs.where("v is not null").select("u", "v")
+    asked = stage(pairs.where("v is null").select("component", F.col("u").alias("class"), "low", "high").distinct(), "asked")
     if not asked.isEmpty():
-        more = asked.join(members.select("node", "shingles"), "node").groupBy("u", "v").applyInArrow(member_link(similarity), "u long, v long")
+        sides = asked.join(found.select("component", "class", "node"), ["component", "class"])
+        more = sides.join(members.select("node", "shingles"), "node").groupBy("component", "low", "high").applyInArrow(member_links(similarity), "u long, v long")
         links = links.unionByName(more)
     whole = components(links).withColumnRenamed("node", "class").withColumnRenamed("component", "joined")
     return stage(found.select("node", "class").join(whole, "class", "left").select("node", F.coalesce("joined", "class").alias("class")), "classes")
 
 
+def bucket_links(entries: np.ndarray, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (node, least node) that span the classes of entries which share a key, within NEAR bits.
+
+    Entries are compared with the next ones of their bucket; buckets of over `most` by a search among those not reached yet.
+    """
+    e = entries[np.argsort(entries["key"], kind="stable")]
+    key, a, b = (np.ascontiguousarray(e[c]) for c in ("key", "a", "b"))
+    node, at = np.unique(e["node"], return_inverse=True)
+    begin = np.concatenate(([0], np.nonzero(np.diff(key))[0] + 1, [len(key)]))
+    size = np.diff(begin)
+    u, v, n = [], [], 0
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal u, v, n
+        u.append(at[i])
+        v.append(at[j])
+        n += len(i)
+        if n > 1_000_000:
+            root = roots(len(node), np.concatenate(u), np.concatenate(v))
+            u, v, n = [np.arange(len(node))], [root], 0
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a[i] ^ a[j]).astype(np.int16) + np.bitwise_count(b[i] ^ b[j]) <= NEAR
+
+    live, step = np.nonzero(np.repeat(size <= most, size))[0], 1
+    while len(live := live[live + step < len(key)]) and len(live := live[key[live + step] == key[live]]):
+        hit = live[near(live, live + step)]
+        add(hit, hit + step)
+        step += 1
+    for k in np.nonzero(size > most)[0]:
+        rest, queue = np.arange(begin[k], begin[k + 1]), []
+        while len(rest):
+            i = queue.pop() if queue else rest[0]
+            hit = near(i, rest)
+            add(np.full(hit.sum(), i), rest[hit])
+            queue += rest[hit & (rest != i)].tolist()
+            rest = rest[~hit]
+    root = roots(len(node), np.concatenate(u), np.concatenate(v)) if u else np.arange(len(node))
+    linked = root != np.arange(len(node))
+    return node[linked], node[root[linked]]
+
+
 def candidates(distinct: DataFrame) -> DataFrame:
-    """(node, component): groups of nodes that bands link, each link being to a bucket's least node."""
-    each = distinct.select("node", F.posexplode("bands").alias("band", "value"))
-    low = each.groupBy("band", "value").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return components(stage(each.join(low, ["band", "value"]).where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "links"))
+    """(node, component): groups of nodes whose fingerprints share a block and are near, directly or through others."""
+    # pieces of about 8 MB: a block's buckets, by their key's first bits where there are many texts
+    split = max(0, int(np.ceil(np.log2(max(1, distinct.count() * ENTRY.itemsize / 8e6)))))
+    split = min(split, WIDTH)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4000):
+            nodes = b.column(0).to_numpy()
+            prints = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            if not len(prints):
+                continue
+            words, bits = prints.view("<u8"), np.unpackbits(prints, axis=1)
+            piece, out = [], []
+            for t, table in enumerate(_TABLES):
+                e = np.empty(len(nodes), ENTRY)
+                e["key"] = np.ascontiguousarray(np.packbits(bits[:, table], axis=1)).view("<u2")[:, 0]
+                e["node"], e["a"], e["b"] = nodes, words[:, 0], words[:, 1]
+                part = e["key"].astype(np.int64) >> (WIDTH - split)
+                order = np.argsort(part, kind="stable")
+                e, part = e[order], part[order]
+                edges = np.concatenate(([0], np.nonzero(np.diff(part))[0] + 1, [len(part)]))
+                piece += ((t << WIDTH) + part[edges[:-1]]).tolist()
+                out += [e[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
+            yield pa.record_batch([pa.array(piece, pa.int64()), pa.array(out, pa.binary())], names=["piece", "entries"])
+
+    def link(group: pa.Table) -> pa.Table:
+        u, v = bucket_links(np.frombuffer(b"".join(group.column("entries").to_pylist()), ENTRY))
+        return pa.table({"u": u, "v": v})
+
+    known = distinct.where(F.octet_length("print") > 0).select("node", "print")
+    links = known.mapInArrow(deal, "piece long, entries binary").groupBy("piece").applyInArrow(link, "u long, v long")
+    return components(stage(links, "links"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each class of near copies, with docs's columns, chosen as in simhash.keep_one."""
     rows = stage(sketches(docs, words), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "more")).alias("first")
-    distinct = stage(rows.groupBy("node").agg(first, F.any_value("bands").alias("bands")), "distinct")
-    groups = stage(candidates(distinct).join(distinct.drop("bands"), "node"), "groups")
+    distinct = stage(rows.groupBy("node").agg(first, F.any_value("print").alias("print")), "distinct")
+    groups = stage(candidates(distinct).join(distinct.drop("print"), "node"), "groups")
     own = row_key(F.col("first.doc_id"), F.col("first.more"))
     texts = docs.select("text", *row_key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(groups.select("node", "component", *own), ["__near_id", "__near_none", "__near_text"])
     texts = texts.dropDuplicates(["node"]).select("component", "node", "text")
@@ -234,5 +337,5 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
         yield from out.take()
 
     classes = exact_classes(stage(texts.mapInArrow(cut, ddl), "members"), similarity)
-    named = distinct.drop("bands").join(classes, "node", "left").select("first", F.coalesce("class", "node").alias("component"))
+    named = distinct.drop("print").join(classes, "node", "left").select("first", F.coalesce("class", "node").alias("component"))
     return keep_least(docs, named.groupBy("component").agg(F.min("first").alias("least")))

@@ -753,6 +753,68 @@ def test_classes_of_large_groups(spark, block, monkeypatch):
     assert got == dict(enumerate(parent))
 
 
+def test_near_copies_are_found_by_simhash_blocks(spark, monkeypatch):
+    """Fingerprints against a plain SimHash, a bucket's links against all pairs by both ways, and candidates against a share of a block."""
+    import numpy as np
+
+    from tessel.llm import nearcopies
+    from tessel.llm.common import components, mix
+
+    r = np.random.default_rng(8)
+    plain = lambda own: sorted(sum(int(mix(own ^ s)[k] >> np.uint64(b)) & 1 for k in range(len(own))) * 2 > len(own) for s in nearcopies._SALTS for b in range(64))
+    for n in (1, 2, 9, 300, 4200):
+        own = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        bits = np.unpackbits(np.frombuffer(nearcopies.simhash(own), np.uint8))
+        assert len(bits) == nearcopies.BITS and (n > 300 or bits.sum() == sum(plain(own)))
+    assert nearcopies.simhash(np.empty(0, np.uint64)) == b""
+    whole = np.unique(r.integers(0, 1 << 64, 4200, np.uint64))
+    ones = np.unpackbits((mix(whole[:, None] ^ nearcopies._SALTS)).view(np.uint8), axis=1).sum(0)
+    assert np.unpackbits(np.frombuffer(nearcopies.simhash(whole), np.uint8)).sum() == (2 * ones > len(whole)).sum()
+
+    e = np.zeros(600, nearcopies.ENTRY)
+    e["key"], e["node"] = r.integers(0, 4, 600), r.permutation(600) - 300
+    centres = r.integers(0, 1 << 64, (60, 2), np.uint64)
+    for k in range(600):
+        own = centres[r.integers(0, 60)].copy()
+        for b in r.integers(0, 128, r.integers(0, 30)):
+            own[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        e[k]["a"], e[k]["b"] = own
+    parent = {int(x): int(x) for x in e["node"]}
+    for i in range(600):
+        for j in range(i):
+            x, y = parent[int(e[i]["node"])], parent[int(e[j]["node"])]
+            if x != y and e[i]["key"] == e[j]["key"] and int(e[i]["a"] ^ e[j]["a"]).bit_count() + int(e[i]["b"] ^ e[j]["b"]).bit_count() <= nearcopies.NEAR:
+                parent = {k: min(x, y) if p == max(x, y) else p for k, p in parent.items()}
+    for most in (2048, 10):
+        u, v = nearcopies.bucket_links(e, most)
+        assert {int(x): int(y) for x, y in zip(u, v)} == {k: p for k, p in parent.items() if k != p} and len(u) < 600
+    flips = [0, 1, 31, 128]  # each text against the first; at most 31 bits apart is certain
+    base = r.integers(0, 2, nearcopies.BITS, np.uint8)
+    rows = [(0, bytearray()), (9, bytearray(np.packbits(base).tobytes()))]
+    for n, k in enumerate(flips):
+        own = base.copy()
+        own[r.permutation(np.arange(128, nearcopies.BITS))[:k]] ^= 1
+        rows.append((10 + n, bytearray(np.packbits(own).tobytes())))
+    rows.append((99, bytearray(np.packbits(1 - base).tobytes())))
+    got = {x.node: x.component for x in nearcopies.candidates(spark.createDataFrame(rows, "node long, print binary")).collect()}
+    assert {9, 10, 11, 12} <= set(got) and {got[n] for n in (9, 10, 11, 12)} == {9} and not {0, 99} & set(got)
+
+
+def test_large_groups_ask_by_block(spark):
+    """Where every class may be linked to every class of another block, a class's members are asked for once for that block, not once for each class."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessel.llm import nearcopies
+
+    r = np.random.default_rng(2)
+    shared = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((shared, r.integers(1000, 1 << 60, 40, np.uint64)))) for _ in range(80)]
+    group = pa.table({"component": [7] * 80, "i": [0] * 80, "j": [0] * 80, "own": [0] * 80, "block": [n % 2 for n in range(80)], "node": range(80), "radius": [0.2] * 80, "shingles": [s.tobytes() for s in sets]})
+    out = nearcopies.block_pairs(0.8)(group)
+    assert len(out) == 80 and set(out.column("u").to_pylist()) == set(range(80))
+
+
 def test_every_operator_on_hard_tables(spark):
     """Empty tables, null and repeated ids, null and empty texts, repeated rows, and columns with names that operators use inside."""
     import corpus_pipeline
