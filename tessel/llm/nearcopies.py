@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import Rolling, Rows, as_bytes, components, mix, slices, stage
+from tessel.llm.decontaminate import FILTER_BITS, probes
 from tessel.llm.simhash import keep_least, row_key
 
 #: Bits of a fingerprint and of a block; permutations of the bits.
@@ -316,14 +317,38 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return components(stage(links, "links"))
 
 
+def within(hashes: DataFrame):  # noqa: ANN201
+    """A function of a long column: whether hashes(hash) may hold it, by a filter of fixed size (see decontaminate.FILTER_BITS), so that most other rows needn't be shuffled to learn that they meet nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.concatenate(probes(mix(b.column(0).to_numpy().view(np.uint64))))
+            yield pa.record_batch([pa.array((bits >> 6).astype(np.int32)), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    words = np.zeros(FILTER_BITS >> 6, np.uint64)
+    found = hashes.select("hash").mapInArrow(run, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    sent = hashes.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        x, y = probes(mix(h.to_numpy(zero_copy_only=False).view(np.uint64)))
+        hit = (sent.value[x >> 6] >> (x & 63).astype(np.uint64)) & (sent.value[y >> 6] >> (y & 63).astype(np.uint64)) & np.uint64(1)
+        return pa.array(hit.astype(bool))
+
+    return maybe
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each class of near copies, with docs's columns, chosen as in simhash.keep_one."""
+    """One row of each class of near copies, with docs's columns, chosen as in simhash.keep_one. Texts are shuffled only where a filter can't tell that they are alone."""
     rows = stage(sketches(docs, words), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "more")).alias("first")
-    distinct = stage(rows.groupBy("node").agg(first, F.any_value("print").alias("print")), "distinct")
+    distinct = stage(rows.groupBy("node").agg(first, F.any_value("print").alias("print"), F.count("*").alias("n")), "distinct")
     groups = stage(candidates(distinct).join(distinct.drop("print"), "node"), "groups")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
     own = row_key(F.col("first.doc_id"), F.col("first.more"))
-    texts = docs.select("text", *row_key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(groups.select("node", "component", *own), ["__near_id", "__near_none", "__near_text"])
+    asked = within(groups.select(F.xxhash64("first.doc_id", "first.more").alias("hash")))
+    texts = docs.where(asked(key)).select("text", *row_key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(groups.select("node", "component", *own), ["__near_id", "__near_none", "__near_text"])
     texts = texts.dropDuplicates(["node"]).select("component", "node", "text")
     ddl = "component long, node long, shingles binary"
 
@@ -337,5 +362,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
         yield from out.take()
 
     classes = exact_classes(stage(texts.mapInArrow(cut, ddl), "members"), similarity)
-    named = distinct.drop("print").join(classes, "node", "left").select("first", F.coalesce("class", "node").alias("component"))
-    return keep_least(docs, named.groupBy("component").agg(F.min("first").alias("least")))
+    named = stage(distinct.drop("print").join(classes, "node", "left").select("node", "first", "n", F.coalesce("class", "node").alias("component")), "named")
+    least = stage(named.groupBy("component").agg(F.min("first").alias("least"), F.sum("n").alias("n")), "least")
+    several = named.select("node", "component").join(least.where("n > 1").select("component"), "component")
+    met = within(rows.join(several, "node").select(F.xxhash64("doc_id", "more").alias("hash")))
+    return docs.where(~met(key)).unionByName(keep_least(docs.where(met(key)), least))
