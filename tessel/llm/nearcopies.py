@@ -31,6 +31,8 @@ from tessel.llm.simhash import keep_least, row_key
 
 #: Bits of a fingerprint and of a block; permutations of the bits.
 BITS, WIDTH, DEALS = 512, 16, 4
+#: Blocks whose classes are found before the other blocks are looked at.
+FEW = 4
 #: Greatest distance of a candidate pair in 128 bits: at similarity 0.8 the mean is 19.4, 36 is four deviations above.
 NEAR = 36
 #: Shingles of a block of sets: 2 MB.
@@ -282,11 +284,8 @@ def bucket_links(entries: np.ndarray, most: int = 2048) -> tuple[np.ndarray, np.
     return node[linked], node[root[linked]]
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(node, component): groups of nodes whose fingerprints share a block and are near, directly or through others."""
-    # pieces of about 8 MB: a block's buckets, by their key's first bits where there are many texts
-    split = max(0, int(np.ceil(np.log2(max(1, distinct.count() * ENTRY.itemsize / 8e6)))))
-    split = min(split, WIDTH)
+def block_links(known: DataFrame, tables: list[int], split: int) -> DataFrame:
+    """Links (u, v) of known(node, print) that span what shares a block of the given ones and is near; nodes may be labels of several prints."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4000):
@@ -296,9 +295,9 @@ def candidates(distinct: DataFrame) -> DataFrame:
                 continue
             words, bits = prints.view("<u8"), np.unpackbits(prints, axis=1)
             piece, out = [], []
-            for t, table in enumerate(_TABLES):
+            for t in tables:
                 e = np.empty(len(nodes), ENTRY)
-                e["key"] = np.ascontiguousarray(np.packbits(bits[:, table], axis=1)).view("<u2")[:, 0]
+                e["key"] = np.ascontiguousarray(np.packbits(bits[:, _TABLES[t]], axis=1)).view("<u2")[:, 0]
                 e["node"], e["a"], e["b"] = nodes, words[:, 0], words[:, 1]
                 part = e["key"].astype(np.int64) >> (WIDTH - split)
                 order = np.argsort(part, kind="stable")
@@ -312,9 +311,25 @@ def candidates(distinct: DataFrame) -> DataFrame:
         u, v = bucket_links(np.frombuffer(b"".join(group.column("entries").to_pylist()), ENTRY))
         return pa.table({"u": u, "v": v})
 
+    return stage(known.mapInArrow(deal, "piece long, entries binary").groupBy("piece").applyInArrow(link, "u long, v long"), "links")
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(node, component): groups of nodes whose fingerprints share a block and are near, directly or through others.
+
+    A text of a large group has a link in nearly every block, most of them to different texts. So the classes of FEW blocks are found first;
+    the other blocks then link these classes, and only classes that are not one yet. The groups are those of all links.
+    """
+    # pieces of about 8 MB: a block's buckets, by their key's first bits where there are many texts
+    split = max(0, int(np.ceil(np.log2(max(1, distinct.count() * ENTRY.itemsize / 8e6)))))
+    split = min(split, WIDTH)
     known = distinct.where(F.octet_length("print") > 0).select("node", "print")
-    links = known.mapInArrow(deal, "piece long, entries binary").groupBy("piece").applyInArrow(link, "u long, v long")
-    return components(stage(links, "links"))
+    first = components(block_links(known, list(range(FEW)), split))
+    named = stage(known.join(first, "node", "left").withColumn("class", F.coalesce("component", "node")), "named")
+    rest = components(block_links(named.select(F.col("class").alias("node"), "print"), list(range(FEW, len(_TABLES))), split))
+    rest = stage(rest.toDF("class", "joined"), "joined")
+    found = named.select("node", "component", "class").join(rest, "class", "left")
+    return stage(found.select("node", F.coalesce("joined", "component").alias("component")).where("component is not null"), "candidates")
 
 
 def within(hashes: DataFrame):  # noqa: ANN201

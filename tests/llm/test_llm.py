@@ -800,6 +800,42 @@ def test_near_copies_are_found_by_simhash_blocks(spark, monkeypatch):
     assert {9, 10, 11, 12} <= set(got) and {got[n] for n in (9, 10, 11, 12)} == {9} and not {0, 99} & set(got)
 
 
+def test_links_of_large_groups_are_few(spark, monkeypatch):
+    """Groups equal those of all blocks' links at once, and the links that are joined follow the texts, not texts times blocks."""
+    import numpy as np
+
+    from tessel.llm import nearcopies
+    from tessel.llm.common import components
+
+    r, rows = np.random.default_rng(6), [(0, bytearray())]
+    for size, flips in ((600, 12), (150, 60), *(((2, 70),) * 40), *(((1, 0),) * 100)):
+        base = r.integers(0, 2, nearcopies.BITS, np.uint8)
+        for _ in range(size):
+            own = base.copy()
+            own[r.permutation(nearcopies.BITS)[:flips]] ^= 1
+            rows.append((int(r.integers(-(1 << 62), 1 << 62)), bytearray(np.packbits(own).tobytes())))
+    distinct = spark.createDataFrame(rows, "node long, print binary")
+    plain = {n: np.frombuffer(x, np.uint8) for n, x in rows if n}
+    entries = np.empty(len(plain), nearcopies.ENTRY)
+    entries["node"], words = list(plain), np.stack(list(plain.values())).view("<u8")
+    entries["a"], entries["b"] = words[:, 0], words[:, 1]
+    bits = np.unpackbits(words.view(np.uint8), axis=1)
+    u, v = [], []
+    for table in nearcopies._TABLES:
+        entries["key"] = np.ascontiguousarray(np.packbits(bits[:, table], axis=1)).view("<u2")[:, 0]
+        for x, out in zip(nearcopies.bucket_links(entries), (u, v)):
+            out.append(x)
+    u, v = np.concatenate(u), np.concatenate(v)
+    node, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    root = nearcopies.roots(len(node), at[: len(u)], at[len(u) :])
+    want = dict(zip(node.tolist(), node[root].tolist()))
+    joined = []
+    monkeypatch.setattr(nearcopies, "components", lambda edges: (joined.append(edges.distinct().count()), components(edges))[1])
+    got = {x.node: x.component for x in nearcopies.candidates(distinct).collect()}
+    assert got == want and len(set(got.values())) > 10
+    assert len(u) > 40 * len(plain) and sum(joined) < 8 * len(plain), (len(u), joined)
+
+
 def test_large_groups_ask_by_block(spark):
     """Where every class may be linked to every class of another block, a class's members are asked for once for that block, not once for each class."""
     import numpy as np
