@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ WINDOWS = "hash long, item_id long, at int, need int, size int"
 PASSED = "k1 long, k2 long, hash long, at int"
 #: Size of the filter: 4 MB.
 FILTER_BITS = 1 << 25
+#: Bytes of texts that are cut into windows together.
+TOGETHER = 500_000
 #: A window in more items is popular.
 POPULAR = 50
 #: Units that may follow a number.
@@ -49,45 +52,47 @@ _NUMBER = re.compile(rb"[+-]?[$\xe2\x82\xac]*\d[\d.,:/]*%?$")
 _OUTER = b"\"'`.,;:!?()[]{}<>*_~|#&"
 
 
-class Lexicon(dict):
-    """Word bytes to a row of (hash in any case, kind, ends a sentence); filled as words come, emptied when large."""
+def kind_of(core: bytes) -> int:
+    """The kind of a word without its outer punctuation, -1 if nothing is left."""
+    if core.isupper() and core.isalpha() and len(core) > 1:
+        return WORD  # shouting is not a name
+    if _NUMBER.match(core):
+        return NUMBER
+    if core[:1].isupper():
+        return NAME
+    return -1 if not core else UNIT if core.lower() in UNITS else WORD
 
-    def __init__(self) -> None:
-        self.clear_all()
 
-    def clear_all(self) -> None:
-        self.clear()
-        self.n = 0
-        self.kind, self.ends = np.empty(4096, np.int8), np.empty(4096, bool)
-        self.hash = np.empty(4096, np.uint64)
+class Lexicon:
+    """Numbers words, and knows of each number (kind, ends a sentence, hash in any case); filled as words come, emptied when large."""
+
+    def __init__(self) -> None:
+        self.known, self.kind, self.ends, self.hash = {}, np.empty(4096, np.int8), np.empty(4096, bool), np.empty(4096, np.uint64)
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         return self.kind, self.ends, self.hash
 
-    def __missing__(self, word: bytes) -> int:
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, which hold until the next call."""
+        if len(self.known) > 400_000:
+            self.known.clear()
+        if new := list(set(words).difference(self.known)):
+            self.add(new)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def add(self, new: list[bytes]) -> None:
         import xxhash
 
-        core = word.strip(_OUTER)
-        low = core.lower()
-        if core.isalpha() and core.islower():
-            kind = UNIT if core in UNITS else WORD
-        elif core.isupper() and core.isalpha() and len(core) > 1:
-            kind = WORD  # shouting is not a name
-        elif _NUMBER.match(core):
-            kind = NUMBER
-        elif core[:1].isupper():
-            kind = NAME
-        else:
-            kind = UNIT if low in UNITS else WORD
-        n = self.n
-        if n == len(self.kind):
-            for name in ("kind", "ends", "hash"):
-                setattr(self, name, np.concatenate((own := getattr(self, name), np.empty_like(own))))
-        self.hash[n] = xxhash.xxh3_64_intdigest(low)
-        self.kind[n], self.ends[n] = kind if core else -1, word[-1:] in b".!?:" or word == b"\x00"
-        self[word] = n
-        self.n = n + 1
-        return n
+        n = len(self.known)
+        own = slice(n, n + len(new))
+        if own.stop > len(self.kind):
+            more = max(own.stop, 2 * len(self.kind)) - len(self.kind)
+            self.kind, self.ends, self.hash = (np.concatenate((x, np.empty(more, x.dtype))) for x in self.arrays())
+        cores = [w.strip(_OUTER) for w in new]
+        self.kind[own] = [kind_of(c) if not c.isalpha() or not c.islower() else UNIT if c in UNITS else WORD for c in cores]
+        self.ends[own] = [w[-1:] in b".!?:" or w == b"\x00" for w in new]
+        self.hash[own] = np.frombuffer(b"".join(xxhash.xxh3_64_digest(c.lower()) for c in cores), ">u8")
+        self.known.update(zip(new, range(n, own.stop)))
 
 
 SLOTS = np.array([0, 0x51ED270B, 0x6F4A955E, 0x9BA38F13], np.uint64)
@@ -95,54 +100,73 @@ SLOTS = np.array([0, 0x51ED270B, 0x6F4A955E, 0x9BA38F13], np.uint64)
 
 @dataclass
 class Tokens:
+    """The tokens of one text, or of several one after another."""
+
     template: np.ndarray  # hash of the literal word or of its slot's type
     literal: np.ndarray  # hash of the word in any case
     slot: np.ndarray  # whether the token is a slot
-    words: np.ndarray  # number of the word in the text
+    words: np.ndarray  # number of the word in all texts
+    text: np.ndarray  # number of the token's text
     first_name: bool  # whether the first token could be a name but for its place
     others: list[np.ndarray]  # further templates, with words that open sentences as names
 
 
 def tokenise(text: bytes, lexicon: Lexicon) -> Tokens:
-    if len(lexicon) > 400_000:
-        lexicon.clear_all()
+    return tokenise_all([text], lexicon)
+
+
+def tokenise_all(texts: list[bytes], lexicon: Lexicon) -> Tokens:
+    """The tokens of all texts; nothing in one text bears on another, so they are those of each text alone."""
     # a line break ends a sentence; its mark is dropped below
-    at = np.fromiter(map(lexicon.__getitem__, text.replace(b"\n", b" \x00 ").split()), np.int64)
+    parts = [t.replace(b"\n", b" \x00 ").split() for t in texts]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    at = lexicon.numbers(list(chain.from_iterable(parts)))
     kind, ends, literal = (x[at] for x in lexicon.arrays())
+    text = np.repeat(np.arange(len(texts)), sizes)
     fresh = np.ones(len(at), bool)
-    fresh[1:] = ends[:-1]
-    mark = at == lexicon.get(b"\x00", -1)
+    fresh[1:] = ends[:-1] | (text[1:] != text[:-1])
+    mark = at == lexicon.known.get(b"\x00", -1)
     word_no = np.cumsum(~mark) - 1
     keep = (kind >= 0) & ~mark
-    kind, literal, fresh, word_no = kind[keep], literal[keep], fresh[keep], word_no[keep]
+    kind, literal, fresh, word_no, text = kind[keep], literal[keep], fresh[keep], word_no[keep], text[keep]
     first_name = bool(len(kind) and kind[0] == NAME)
     opens, inside = (kind == NAME) & fresh, (kind == NAME) & ~fresh
-    kind = np.where(opens, WORD, kind).astype(np.int64)
+    kind[opens] = WORD
     after_number = np.zeros(len(kind), bool)
-    after_number[1:] = kind[:-1] == NUMBER
-    kind = np.where((kind == UNIT) & ~after_number, WORD, kind)
-    template, others = np.where(kind == WORD, literal, SLOTS[kind]), []
+    after_number[1:] = (kind[:-1] == NUMBER) & (text[1:] == text[:-1])
+    kind[(kind == UNIT) & ~after_number] = WORD
+    slot = kind != WORD
+    template, others = np.where(slot, SLOTS[kind], literal), []
     if opens.any():
-        known = opens & np.isin(literal, literal[inside])
-        others = [np.where(x, SLOTS[NAME], template) for x in ([known] if known.any() and (known != opens).any() else []) + [opens]]
-    return Tokens(template, literal, kind != WORD, word_no, first_name, others)
+        own, names = np.nonzero(opens)[0], np.nonzero(inside)[0]
+        own = own[np.isin(literal[own] ^ mix(text[own]), literal[names] ^ mix(text[names]))]
+        if 0 < len(own) < opens.sum():
+            others.append(template.copy())
+            others[0][own] = SLOTS[NAME]
+        others.append(np.where(opens, SLOTS[NAME], template))
+    return Tokens(template, literal, slot, word_no, text, first_name, others)
 
 
 def windows_of(t: Tokens, w: int, window: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the windows of w tokens, in all their readings; only windows of the full length have further readings."""
+    """(place, hash) of the windows of w tokens of one text, in all their readings; only windows of the full length have further readings."""
     h = rolling.windows(t.template, w)
     if not len(h):
         return np.empty(0, np.int64), h
     literal = rolling.windows(t.literal, w)
     few = counted(~t.slot, w) < LITERAL
     h = np.where(few, mix(literal ^ SLOTS[1]), h)
-    at = [np.arange(len(h))]
-    out = [h]
+    whole = t.text[: len(h)] == t.text[w - 1 :]
+    at = [np.nonzero(whole)[0]]
+    out, known = [h[whole]], [h]
     for template in t.others if w == window else []:
-        other = rolling.windows(template, w)
-        own = np.nonzero((other != out[0]) & (counted(template == t.literal, w) >= LITERAL))[0]
-        at.append(own)
-        out.append(other[own])
+        other, fresh = rolling.windows(template, w), whole
+        for x in known:
+            fresh = fresh & (other != x)
+        own = np.nonzero(fresh)[0]
+        enough = counted(template == t.literal, w)[own] >= LITERAL
+        at.append(own[enough])
+        out.append(other[own[enough]])
+        known.append(other)
     return np.concatenate(at), mix(np.concatenate(out) + np.uint64(w))
 
 
@@ -302,21 +326,38 @@ def pairs(texts: DataFrame, windows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, lexicon, rows, seen = Rolling(), Lexicon(), Rows(PASSED), set()
-        bits, sizes = sent.value
+        (bits, sizes), texts, keys, size = sent.value, [], [], 0
+
+        def look() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            t = tokenise_all(texts, lexicon)
+            first = np.searchsorted(t.text, np.arange(len(texts)))
+            for w in sizes:
+                at, h = windows_of(t, w, window, rolling)
+                for x in range(2):  # the second bit is looked up where the first is set
+                    bit = probes(h)[x]
+                    hit = np.nonzero(bits[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))[0]
+                    at, h = at[hit], h[hit]
+                own = t.text[at]
+                for n, p, v in zip(own.tolist(), (at - first[own]).tolist(), h.view(np.int64).tolist()):
+                    if rows.add(*keys[n], v, p):
+                        yield from rows.take()
+            texts.clear()
+            keys.clear()
+            size = 0
+
         for b in small(batches):
             for k1, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 if (k1, k2) in seen:  # copies in one task are read once
                     continue
                 if len(seen) < 500_000:
                     seen.add((k1, k2))
-                t = tokenise(text, lexicon)
-                for w in sizes:
-                    at, h = windows_of(t, w, window, rolling)
-                    x, y = probes(h)
-                    hit = np.nonzero((bits[x >> 6] >> (x & 63).astype(np.uint64)) & (bits[y >> 6] >> (y & 63).astype(np.uint64)) & np.uint64(1))[0]
-                    for p, v in zip(at[hit].tolist(), h[hit].view(np.int64).tolist()):
-                        if rows.add(k1, k2, v, p):
-                            yield from rows.take()
+                texts.append(text)
+                keys.append((k1, k2))
+                size += len(text)
+                if size >= TOGETHER:
+                    yield from look()
+            yield from look()
         yield from rows.take()
 
     passed = stage(texts.mapInArrow(run, PASSED), "passed")

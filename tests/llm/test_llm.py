@@ -924,6 +924,26 @@ def test_leaks_with_names_that_open_sentences(spark):
     assert leaked(spark, [lines.replace("a", "c")], lines) == {}
 
 
+@pytest.mark.parametrize("width", [8, 3])
+def test_windows_of_texts_together(width):
+    """Texts that are cut together have the windows of each alone: none crosses texts, and no name, number or open sentence of one bears on the next."""
+    import numpy as np
+
+    r, rolling = random.Random(5), decontaminate.Rolling()
+    some = "Tom Tom. tom 12 kg kg. 3,5 has dogs. dogs THE -- Ann of \n \x00 été".split(" ")
+    texts = ["", " ", "\n\n", "Ann has 12", "kg of dogs"] + [" ".join(r.choice(some) for _ in range(r.randrange(60))) for _ in range(300)]
+    texts = [x.encode() for x in texts]
+    together = decontaminate.tokenise_all(texts, decontaminate.Lexicon())
+    at, h = decontaminate.windows_of(together, width, 8, rolling)
+    own = together.text[at]
+    got = sorted(zip(own.tolist(), (at - np.searchsorted(together.text, own)).tolist(), h.tolist()))
+    want = []
+    for n, x in enumerate(texts):
+        at, h = decontaminate.windows_of(decontaminate.tokenise(x, decontaminate.Lexicon()), width, 8, rolling)
+        want += [(n, *y) for y in zip(at.tolist(), h.tolist())]
+    assert got == sorted(want) and len(set(got)) == len(got) > 5000
+
+
 def test_leaks_of_a_diagonal(spark):
     w = [f"w{chr(97 + i)}x" for i in range(24)]
     assert leaked(spark, [" ".join([*w[:12], "other", *w[13:]]), " ".join([*w[:10], "other", *w[11:14], "more", *w[15:]])], " ".join(w)) == {0: ("exact", 9)}
